@@ -5,15 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import byte_bpe
+from tileflow.llm import byte_bpe, language_id, secrets, toxicity, unigram_counts
 from tileflow.llm.common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.count_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_documents(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe}
+QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
 ORACLE_SQL: dict[str, str] = {}
