@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import byte_bpe, language_id, secrets, toxicity, unigram_counts
+from tileflow.llm import byte_bpe, language_id, secrets, toxicity, unigram_counts, vector_links, warc
 from tileflow.llm.common import table
 
 
@@ -17,6 +17,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -33,9 +41,40 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
+    "op5_vector_links": op5_vector_links,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Links are pairs of rows; components are the smallest id over the closure of the links.
+_CLOSURE = """, reach AS (
+    SELECT u AS node, u AS seen FROM linked
+    UNION
+    SELECT r.node, l.v FROM reach r JOIN linked l ON l.u = r.seen
+), component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+f AS (SELECT digest, max(page_id) AS first FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN f.first > d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first > d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON f.digest = d.digest AND d.n >= 1000""",
+    "op5_vector_links": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), linked AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+)""" + _CLOSURE + """
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+  coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM linked GROUP BY u) l ON l.u = e.vec_id
+LEFT JOIN component c ON c.node = e.vec_id""",
+}
