@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import byte_bpe, language_id, secrets, toxicity, unigram_counts, vector_links, warc
+from tileflow.llm import byte_bpe, language_id, minhash, secrets, toxicity, unigram_counts, vector_links, warc
 from tileflow.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.link_vectors(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op5_vector_links": op5_vector_links,
+    "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
@@ -68,7 +73,7 @@ FROM d LEFT JOIN f ON f.digest = d.digest AND d.n >= 1000""",
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
     WHERE label IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), linked AS (
     SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
     WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -77,4 +82,18 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c.component
   coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM linked GROUP BY u) l ON l.u = e.vec_id
 LEFT JOIN component c ON c.node = e.vec_id""",
+    "op6_minhash": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), linked AS (
+    SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+)""" + _CLOSURE + """
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+  coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN component c ON c.node = d.doc_id""",
 }
