@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import byte_bpe, language_id, minhash, secrets, toxicity, unigram_counts, vector_links, warc
+from tileflow.llm import byte_bpe, language_id, minhash, repeats, secrets, toxicity, unigram_counts, vector_links, warc
 from tileflow.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
@@ -51,6 +55,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_repeats": op10_repeats,
 }
 
 #: Links are pairs of rows; components are the smallest id over the closure of the links.
@@ -96,4 +101,15 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
   coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN component c ON c.node = d.doc_id""",
+    "op10_repeats": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, hash(array_to_string(words[i : i + 34], ' ')) AS h, md5(array_to_string(words[i : i + 34], ' ')) AS m
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT h, m FROM w GROUP BY h, m HAVING count(*) > 1) USING (h, m)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+k AS (
+    SELECT doc_id, array_to_string(list(word ORDER BY i), ' ') AS kept, count(*) AS n
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
 }
