@@ -66,6 +66,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more, and let go of finished shuffles."""
+    remove(spark, *{f.rpartition("/")[0] for t in tables for f in t.inputFiles()})
+    release(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.common import Memo, as_bytes, map_batches, materialise, ready
+from tileflow.llm.common import Memo, as_bytes, discard, map_batches, materialise, ready
 from tileflow.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 80
@@ -265,7 +265,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, p
     members = materialise(spark, members, "minhash-members")
     unsettled = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2 AND n > 2").select("key")
     more = materialise(spark, _rest_of_links(members.join(unsettled, "key"), rest, texts, size, percent), "minhash-links")
+    discard(spark, shared, pruned, texts, members)
     component = connected_components(spark, links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_class = rest.join(component, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = read.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(of_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that are kept: of each component the smallest id's, of equal rows (doc_id, text) one; rows without an id stay."""
+    kept = near_duplicates(spark, docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tileflow.llm import byte_bpe, language_id, minhash, repeats, secrets, toxicity, unigram_counts, vector_links, warc
+from tileflow.llm import byte_bpe, decontaminate, language_id, minhash, repeats, secrets, toxicity, unigram_counts, vector_links, warc
 from tileflow.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,

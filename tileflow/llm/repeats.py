@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.common import Memo, as_bytes, map_batches, materialise, ready, release
+from tileflow.llm.common import Memo, as_bytes, discard, map_batches, materialise, ready, release
 
 SPAN, GRAM = 35, 8
 BATCHES, MAX_RUNS = 3, 2
@@ -160,7 +160,8 @@ class FingerprintIndex:
             entries, *others = self.runs
             for o in others:
                 entries = entries.union(o)
-            self.runs = [self._run(entries)]
+            old, self.runs = self.runs, [self._run(entries)]
+            discard(self.spark, *old)
 
     def entries(self, shared: DataFrame) -> DataFrame:
         """(anchor, block, full, emit) under the shared anchors: whether a block occurs again as a whole, and whether its windows have to be compared."""
@@ -235,8 +236,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
         part = index.add(blocks.where(F.pmod(F.xxhash64("k1", F.lit(41)), F.lit(batches)) == b).select("anchor", "block"))
         shared = part if shared is None else shared.union(part)
     entries = materialise(spark, index.entries(shared.distinct()), "repeats-entries")
+    discard(spark, shared, *index.runs)
     marks = materialise(spark, blocks.join(entries, ["anchor", "block"]), "repeats-marks")
-    release(spark)
+    discard(spark, entries)
 
     # one document stands for each repeated block that others are compared with
     place = ("k1", "k2", "lo", "hi")
@@ -245,6 +247,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
     ranges = marks.where("full").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     keys = read.select("k1", "k2", "n_words").dropDuplicates(["k1", "k2"])
     marked = materialise(spark, keys.join(ranges, ["k1", "k2"], "left").join(jobs, ["k1", "k2"], "left").where("ranges IS NOT NULL OR jobs IS NOT NULL"), "repeats-documents")
+    discard(spark, marks)
 
     # all windows of a text repeated: nothing of it is left, and its text isn't needed but for what it stands for
     windows = F.aggregate(F.array_distinct("ranges"), F.lit(0).cast("long"), lambda n, r: n + (r["hi"] - r["lo"] + 1).cast("long"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.common import materialise, ready
+from tileflow.llm.common import discard, materialise, ready
 from tileflow.llm.components import connected_components
 
 PIVOTS, PER_PIVOT = 256, 8192
@@ -159,6 +159,7 @@ def link_vectors(spark: SparkSession, rows: DataFrame, threshold: float = 0.93)
 
     blocks = as_home.union(as_member).groupBy(*at, "i", "j").applyInArrow(compare, "id long, h long, links long, root long")
     blocks = materialise(spark, blocks, "vector-links")
+    discard(spark, placed)
     counts = blocks.where("links > 0").groupBy("id", "h").agg(F.sum("links").alias("links"))
     component = connected_components(spark, blocks.where("root <> id").select(F.col("id").alias("u"), F.col("root").alias("v")))
     known = classes.join(counts, ["id", "h"], "left").join(component, F.col("id") == F.col("node"), "left").select(*key, F.lit(True).alias("ok"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
