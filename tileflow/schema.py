@@ -1,0 +1,14 @@
+"""Schemas and the sentinels that only text output uses."""
+
+from pyspark.sql import types as T
+
+EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("weight", T.LongType())])
+VERTEX = T.StructType([T.StructField("id", T.LongType()), T.StructField("tile", T.IntegerType())])
+PARTITION = T.StructType([T.StructField("vid", T.LongType()), T.StructField("tile", T.IntegerType())])
+RATING = T.StructType([T.StructField("user", T.LongType()), T.StructField("movie", T.LongType()), T.StructField("rating", T.DoubleType())])
+METRIC = T.StructType([T.StructField("tag", T.StringType()), T.StructField("value", T.DoubleType())])
+
+# Distances and predecessors are null inside the engine; these stand for null in 32- and 64-bit outputs.
+INFINITE_DISTANCE = 2**31 - 1
+NO_PREDECESSOR = 2**64 - 1
+UNREACHED_TEXT = "Can not reach <- none"

@@ -1,0 +1 @@
+"""Nothing here is a stream of events: the engine's only repeated operator is the superstep of plans.supersteps."""
