@@ -85,7 +85,7 @@ class Filter:
                 masks = masks & plane[c]
             for i in range(p * PLANE, min(len(hits), (p + 1) * PLANE)):
                 hits[i] = np.count_nonzero(masks & np.uint64(1 << i % PLANE))
-        corrected = np.maximum(hits - n * self.false, 0) / (1 - self.false)
+        corrected = np.round(np.maximum(hits - n * self.false, 0) / (1 - self.false), 6)
         best = int(np.argmax(corrected))
         if corrected[best] <= 0:
             return UNDECIDED, 0.0
