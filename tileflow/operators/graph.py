@@ -176,6 +176,37 @@ class Graph:
         """id, tile, label: each vertex's place by id in its tile."""
         return self.vertices.withColumn("label", (F.row_number().over(Window.partitionBy("tile").orderBy("id")) - 1).cast("long"))
 
+    def edge_slots(self) -> DataFrame:
+        """Edges with their tiles and `slot`, an edge's place among those of the same pair of tiles, by source and destination."""
+        w = Window.partitionBy("src_tile", "dst_tile").orderBy("src", "dst", "weight")
+        return self.tiled_edges().withColumn("slot", (F.row_number().over(w) - 1).cast("long"))
+
+    def on_slots(self, state: DataFrame) -> DataFrame:
+        """state (id, columns) laid out on the edge slots: src_tile, dst_tile, slot, dst and the source's columns."""
+        columns = [c for c in state.columns if c not in ("id", "tile")]
+        return self.edge_slots().join(state.select(F.col("id").alias("src"), *columns), "src").select("src_tile", "dst_tile", "slot", "dst", *columns)
+
+    def from_mirrors(self, merged: DataFrame, columns: list[str]) -> DataFrame:
+        """(src_tile, dst, columns) brought to all vertices of the master tile, one row for each other tile: is_dummy where that tile has no mirror."""
+        tiles = self.vertices.select(F.col("tile").alias("src_tile")).distinct()
+        every = self.vertices.join(F.broadcast(tiles), F.col("src_tile") != F.col("tile"))
+        found = merged.select("src_tile", F.col("dst").alias("id"), *columns, F.lit(False).alias("is_dummy"))
+        return every.join(found, ["src_tile", "id"], "left").select("src_tile", "id", "tile", *columns, F.coalesce("is_dummy", F.lit(True)).alias("is_dummy"))
+
+    def cut_edges(self) -> DataFrame:
+        """edges, cut: how many edges there are, and how many of them between tiles."""
+        return self.tiled_edges().agg(F.count("*").alias("edges"), F.count_if(F.col("src_tile") != F.col("dst_tile")).alias("cut"))
+
+    def run_bounds(self) -> DataFrame:
+        """Edges in (dst, src) order with is_last: whether the next one has another destination."""
+        w = Window.partitionBy("dst").orderBy("src", "weight")
+        return self.edges.withColumn("is_last", F.lead("src").over(w).isNull())
+
+    def merge_rounds(self) -> DataFrame:
+        """dst, updates, rounds: how many rounds of pairwise merges a vertex's updates take."""
+        n = self.edges.groupBy("dst").agg(F.count("*").alias("updates"))
+        return n.withColumn("rounds", F.when(F.col("updates") > 1, F.length(F.bin(F.col("updates") - 1))).otherwise(0).cast("int"))
+
     def messages(self) -> DataFrame:
         """What a superstep sends between tiles: src_tile, dst_tile, messages (an edge each), merged (one a mirror), helper_tile."""
         n = self.vertices.agg(F.max("tile") + 1).first()[0] or 1

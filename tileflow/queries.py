@@ -457,3 +457,56 @@ def integer_functions(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     n = F.col("p_size").cast("long")
     return p.select(F.col("p_partkey").alias("id"), scalars.ilog2(n).alias("lg"), scalars.is_pow2(n).alias("is_pow2"), scalars.next_pow2(n).alias("next"))
+
+
+# Layouts by position, and what is left of the tools
+
+
+@query(f"""WITH {T} SELECT src_tile, dst_tile, row_number() OVER (PARTITION BY src_tile, dst_tile ORDER BY src, dst, weight) - 1 AS slot, dst, o.n AS out_deg
+FROM t JOIN (SELECT src AS id, count(*) AS n FROM e GROUP BY src) o ON o.id = t.src""")
+def state_on_edge_slots(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.on_slots(g.out_degrees())
+
+
+@query(f"""WITH {T}, m AS (SELECT src_tile, dst, min(weight) AS least FROM t WHERE src_tile <> dst_tile GROUP BY ALL), k AS (SELECT DISTINCT tile AS src_tile FROM v)
+SELECT k.src_tile, v.id, v.tile, m.least, m.dst IS NULL AS is_dummy FROM v JOIN k ON k.src_tile <> v.tile LEFT JOIN m ON m.src_tile = k.src_tile AND m.dst = v.id""")
+def mirrors_to_masters(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    merged = g.tiled_edges().where("src_tile <> dst_tile").groupBy("src_tile", "dst").agg(F.min("weight").alias("least"))
+    return g.from_mirrors(merged, ["least"])
+
+
+@query(f"WITH {T} SELECT count(*) AS edges, CAST(count(*) FILTER (src_tile <> dst_tile) AS BIGINT) AS cut FROM t")
+def edge_cut(spark, sf_dir):
+    return _graph(spark, sf_dir).cut_edges()
+
+
+@query(f"WITH {E} SELECT *, lead(src) OVER (PARTITION BY dst ORDER BY src, weight) IS NULL AS is_last FROM e")
+def run_bounds(spark, sf_dir):
+    return _graph(spark, sf_dir).run_bounds()
+
+
+@query(f"WITH {E}, n AS (SELECT dst, count(*) AS updates FROM e GROUP BY dst) SELECT dst, updates, CAST(ceil(log2(updates)) AS INTEGER) AS rounds FROM n")
+def merge_rounds(spark, sf_dir):
+    return _graph(spark, sf_dir).merge_rounds()
+
+
+@query(f"WITH {D} SELECT max(in_deg) AS in_deg, max({POW2}) AS padded_deg FROM i")
+def largest_degrees(spark, sf_dir):
+    return _graph(spark, sf_dir).padded_degrees().agg(F.max("in_deg").alias("in_deg"), F.max("padded_deg").alias("padded_deg"))
+
+
+@query("SELECT s_suppkey AS id, round(exp(0.0) / (exp(0.0) + exp((s_nationkey - 24) / 10.0)), 6) AS p, CAST(1 AS DOUBLE) AS total FROM supplier")
+def softmax_and_running_sum(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.array(F.lit(2.4), F.col("s_nationkey") / 10.0).alias("a"))
+    shares_of = x.select("id", scalars.softmax(F.col("a")).alias("parts"))
+    return shares_of.select("id", F.round(F.col("parts")[0], 6).alias("p"), F.round(scalars.running_sum(F.col("parts"))[1], 6).alias("total"))
+
+
+@query("""WITH m AS (SELECT user_id AS run, avg(value) FILTER (event_type = 'purchase') AS purchase, avg(value) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id)
+SELECT run, round(coalesce(purchase, 0) + coalesce(view, 0), 6) AS total, round((purchase - view) / 20, 6) AS amortised FROM m""")
+def metrics_amortised(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run"), F.col("event_type").alias("tag"), "value")
+    wide = metrics.amortised(metrics.wide(e, ["purchase", "view"], {"total": ["purchase", "view"]}), "purchase", "view", 20)
+    return wide.select("run", F.round("total", 6).alias("total"), F.round("amortised", 6).alias("amortised"))
