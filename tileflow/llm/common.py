@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -49,9 +50,28 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _made(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tileflow_tables"):
+        sc._tileflow_tables = []
+    return sc._tileflow_tables
+
+
+@contextmanager
+def only_results(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are materialised inside, but for those put into the list that it gives."""
+    before, keep = len(_made(spark)), []
+    yield keep
+    kept = {f.rpartition("/")[0].split("://")[-1].lstrip("/") for t in keep for f in t.inputFiles()}
+    remove(spark, *[p for p in _made(spark)[before:] if p.split("://")[-1].lstrip("/") not in kept])
+    del _made(spark)[before:]
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps: it follows the driver's garbage collection."""
     gc.collect()

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tileflow.llm.common import free_name, materialise, ready
 
@@ -48,7 +49,7 @@ WORDS_AT_ONCE = 200_000
 
 _SPACE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _END = re.compile(r"[.!?]\s")
-LEAK = "array<struct<item_id:long,score:double,question:double,answer:double>>"
+LEAK = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("score", "question", "answer")]])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -262,7 +263,7 @@ def with_leaks(spark: SparkSession, docs: DataFrame, index: Index, column: str =
             rest = [(n, c) for j, (n, c) in enumerate(zip(b.schema.names, b.columns, strict=True)) if j != i]
             yield pa.RecordBatch.from_arrays([c for _, c in rest] + [leaks], [n for n, _ in rest] + [column])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{column} {LEAK}"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(LEAK))])
     return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, schema)
 
 

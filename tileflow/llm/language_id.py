@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tileflow.llm.common import free_name, map_batches, ready
 
@@ -163,7 +164,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Filter, lang_col: str =
             rest = [(n, c) for j, (n, c) in enumerate(zip(b.schema.names, b.columns, strict=True)) if j != i]
             yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array([p for p, _ in pairs], pa.string()), pa.array([s for _, s in pairs], pa.float64())], [n for n, _ in rest] + [lang_col, score_col])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{lang_col} string, {score_col} double"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
