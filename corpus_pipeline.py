@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileflow.llm import byte_bpe, decontaminate, language_id, minhash, secrets
-from tileflow.llm.common import free_name, materialise, table
+from tileflow.llm.common import discard, free_name, materialise, only_results, table
 
 MIN_SCORE = 0.3
 WORDS, PERCENT = 5, 80
@@ -65,6 +65,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        with only_results(spark) as keep:
+            done = materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(done)
+        if k:
+            discard(spark, docs)
+        docs = done
     return docs
