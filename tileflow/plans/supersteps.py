@@ -56,7 +56,9 @@ def place_edges(edges: DataFrame, slot_edges: int = SLOT_EDGES) -> tuple[DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     many = edges.groupBy("src").agg(F.ceil(F.count("*") / slot_edges).cast("int").alias("slots")).where("slots > 1")
     slots = edges.join(many, "src", "left").withColumn("slot", F.pmod(F.xxhash64("dst"), F.coalesce("slots", F.lit(1))).cast("int")).drop("slots")
-    return slots.repartition(n, "src", "slot").persist(), cut(many)
+    placed = slots.repartition(n, "src", "slot").persist()
+    placed.count()  # only a cache that is filled tells how it is partitioned; else every step would shuffle the edges
+    return placed, cut(many)
 
 
 def superstep(placed: DataFrame, many: DataFrame, state: DataFrame, kernel: Kernel, step: int) -> DataFrame:

@@ -37,6 +37,11 @@ def _graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(derive.next_items(spark, sf_dir), F.pmod("id", F.lit(TILES)))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same graph with its edges kept, for loops that read them more than once."""
+    return Graph.from_edges(derive.next_items(spark, sf_dir).persist(), F.pmod("id", F.lit(TILES)))
+
+
 def _source(graph: Graph) -> int:
     return graph.edges.agg(F.min("src")).first()[0] or 0
 
@@ -262,45 +267,45 @@ def gather_min_once(spark, sf_dir):
 
 @query(_paths(_FROM_SOURCE, "x.weight") + f" SELECT id, dist FROM s{STEPS}")
 def sssp_k(spark, sf_dir):
-    return run(g := _graph(spark, sf_dir), alg.sssp(_source(g), STEPS)).select("id", "dist")
+    return run(g := _kept(spark, sf_dir), alg.sssp(_source(g), STEPS)).select("id", "dist")
 
 
 @query(_paths(_FROM_SOURCE, "x.weight") + f" SELECT id, dist, pred FROM s{STEPS}")
 def sssp_pred_k(spark, sf_dir):
-    return run(g := _graph(spark, sf_dir), alg.sssp(_source(g), STEPS)).select("id", "dist", "pred")
+    return run(g := _kept(spark, sf_dir), alg.sssp(_source(g), STEPS)).select("id", "dist", "pred")
 
 
 @query(_paths(_FROM_SOURCE, "0") + f" SELECT id, dist, pred FROM s{STEPS}")
 def bfs_reach(spark, sf_dir):
-    return run(g := _graph(spark, sf_dir), alg.bfs_reach(_source(g), STEPS)).select("id", "dist", "pred")
+    return run(g := _kept(spark, sf_dir), alg.bfs_reach(_source(g), STEPS)).select("id", "dist", "pred")
 
 
 @query(f"""WITH RECURSIVE {E}, r AS (
   SELECT min(src) AS id, 0 AS hops FROM e UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.id WHERE r.hops < {STEPS})
 SELECT v.id, CAST(min(hops) AS BIGINT) AS dist FROM v LEFT JOIN r ON r.id = v.id GROUP BY v.id""")
 def bfs_hops(spark, sf_dir):
-    return run(g := _graph(spark, sf_dir), alg.bfs_hops(_source(g), STEPS)).select("id", "dist")
+    return run(g := _kept(spark, sf_dir), alg.bfs_hops(_source(g), STEPS)).select("id", "dist")
 
 
 @query(_paths("id", "0") + f" SELECT id, dist AS label, pred FROM s{STEPS}")
 def cc_directed(spark, sf_dir):
-    return run(_graph(spark, sf_dir), alg.components(STEPS)).select("id", F.col("dist").alias("label"), "pred")
+    return run(_kept(spark, sf_dir), alg.components(STEPS)).select("id", F.col("dist").alias("label"), "pred")
 
 
 @query(f"""WITH RECURSIVE {E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (
   SELECT id, id AS label FROM v UNION SELECT b.dst, r.label FROM r JOIN b ON b.src = r.id WHERE r.label < b.dst)
 SELECT id, min(label) AS label FROM r GROUP BY id""")
 def cc_undirected(spark, sf_dir):
-    return run(_graph(spark, sf_dir), alg.components(100, undirected=True), until_converged=True).select("id", F.col("dist").alias("label"))
+    return run(_kept(spark, sf_dir), alg.components(100, undirected=True), until_converged=True).select("id", F.col("dist").alias("label"))
 
 
 @query(f"WITH {E}, w AS (SELECT id, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS o FROM v), " + _steps("SELECT id, CAST(o AS BIGINT) AS dist, CAST(NULL AS BIGINT) AS pred FROM w", _PATH_STEP.format(length="0", edges="e"), 4) + " SELECT id, dist AS label FROM s4")
 def cc_tile_ordinal(spark, sf_dir):
-    return run(_graph(spark, sf_dir), alg.tile_components(4)).select("id", F.col("dist").alias("label"))
+    return run(_kept(spark, sf_dir), alg.tile_components(4)).select("id", F.col("dist").alias("label"))
 
 
 def _rank(spark, sf_dir, mode, **more):
-    return run(_graph(spark, sf_dir), alg.pagerank(mode, max_iters=RANK_STEPS, **more)).select("id", F.round(F.col("rank") + 1e-8, 6).alias("rank"))
+    return run(_kept(spark, sf_dir), alg.pagerank(mode, max_iters=RANK_STEPS, **more)).select("id", F.round(F.col("rank") + 1e-8, 6).alias("rank"))
 
 
 _END = f" SELECT id, round(CASE WHEN in_deg = 0 THEN 0.15::DOUBLE ELSE rank END + 1e-8, 6) AS rank FROM s{RANK_STEPS}"
@@ -328,19 +333,19 @@ def pagerank_accumulate_k(spark, sf_dir):
 
 @query(f"WITH {D} SELECT id, 0.15::DOUBLE AS rank FROM i WHERE in_deg = 0")
 def pagerank_zero_indeg(spark, sf_dir):
-    return run(_graph(spark, sf_dir), alg.pagerank(max_iters=2)).where("in_deg = 0").select("id", F.round(F.col("rank") + 1e-8, 6).alias("rank"))
+    return run(_kept(spark, sf_dir), alg.pagerank(max_iters=2)).where("in_deg = 0").select("id", F.round(F.col("rank") + 1e-8, 6).alias("rank"))
 
 
 @query(_paths(_FROM_SOURCE, "1", 2) + " SELECT bool_and(a.dist IS NOT DISTINCT FROM b.dist) AS converged FROM s1 a JOIN s2 b ON a.id = b.id")
 def converged_flag(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _kept(spark, sf_dir)
     s = _source(g)
     return converged([run(g, alg.bfs_hops(s, 1)), run(g, alg.bfs_hops(s, 2))], ["dist"])
 
 
 @query(_paths(_FROM_SOURCE, "1", 4) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS step, count(*) AS changed FROM s{k} a JOIN s{k - 1} b ON a.id = b.id WHERE a.dist IS DISTINCT FROM b.dist" for k in range(1, 5)))
 def frontier_sizes(spark, sf_dir):
-    g, trace = _graph(spark, sf_dir), []
+    g, trace = _kept(spark, sf_dir), []
     run(g, alg.bfs_hops(_source(g), 4), trace=trace)
     return spark.createDataFrame(trace, "step long, changed long")
 
@@ -350,7 +355,7 @@ def kernels_in_sequence(spark, sf_dir):
     """A kernel that reads what another has left: the labels of one step, then one more step from there."""
     first = alg.components(1)
     second = Kernel(**{**alg.components(1).__dict__, "name": "again", "init": lambda g: g.vertices})
-    return Engine(_graph(spark, sf_dir)).add(first).add(second).run().select("id", F.col("dist").alias("label"))
+    return Engine(_kept(spark, sf_dir)).add(first).add(second).run().select("id", F.col("dist").alias("label"))
 
 
 # Matrix factors
@@ -386,7 +391,8 @@ def als_sse(spark, sf_dir):
 
 @query()
 def als_factors(spark, sf_dir):
-    return run(_ratings(spark, sf_dir), alg.als(BOUNDARY, rank=3, max_iters=4)).select("id", alg.role(F.col("id"), BOUNDARY).alias("role"), "f")
+    g = _ratings(spark, sf_dir)
+    return run(Graph(g.vertices, g.edges.persist()), alg.als(BOUNDARY, rank=3, max_iters=4)).select("id", alg.role(F.col("id"), BOUNDARY).alias("role"), "f")
 
 
 @query(f"WITH {R} SELECT src AS id, CASE WHEN src < {BOUNDARY} THEN 'USER' ELSE 'MOVIE' END AS role, count(*) AS ratings FROM b WHERE weight > 0.1 GROUP BY src")
@@ -410,7 +416,7 @@ def federated_premerged_messages(spark, sf_dir):
 
 @query(_paths(_FROM_SOURCE, "x.weight", 2) + " SELECT id, dist, pred FROM s2")
 def share_roundtrip(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _kept(spark, sf_dir)
     a, b = shares.split(run(g, alg.sssp(_source(g), 2)), ["dist", "pred"])
     return shares.reveal(*shares.share_again(a, b, seed=1))
 
@@ -442,7 +448,7 @@ def fed_partition(spark, sf_dir):
 
 @query(_paths(_FROM_SOURCE, "x.weight", 3) + " SELECT concat(id, chr(9), CASE WHEN dist IS NULL OR pred IS NULL THEN 'Can not reach <- none' ELSE concat(dist, ' ', chr(9), '<- ', pred) END) AS value FROM s3")
 def text_sink_path_format(spark, sf_dir):
-    v = run(g := _graph(spark, sf_dir), alg.sssp(_source(g), 3))
+    v = run(g := _kept(spark, sf_dir), alg.sssp(_source(g), 3))
     return sinks.result_lines(v, sinks.path_text(F.col("dist"), F.col("pred"))).select("value")
 
 
