@@ -244,16 +244,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
     place = ("k1", "k2", "lo", "hi")
     stands = marks.where("full AND emit").groupBy("anchor", "block").agg(F.min(F.struct(*place)).alias("p")).select("p.*", F.lit(True).alias("full"))
     jobs = marks.where("NOT full").select(*place, "full").union(stands).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "full")).alias("jobs"))
-    ranges = marks.where("full").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    keys = read.select("k1", "k2", "n_words").dropDuplicates(["k1", "k2"])
+    ranges = marks.where("full").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("windows"))
+    keys = read.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
     marked = materialise(spark, keys.join(ranges, ["k1", "k2"], "left").join(jobs, ["k1", "k2"], "left").where("ranges IS NOT NULL OR jobs IS NOT NULL"), "repeats-documents")
     discard(spark, marks)
 
     # all windows of a text repeated: nothing of it is left, and its text isn't needed but for what it stands for
-    windows = F.aggregate(F.array_distinct("ranges"), F.lit(0).cast("long"), lambda n, r: n + (r["hi"] - r["lo"] + 1).cast("long"))
-    gone = F.coalesce(windows == F.col("n_words") - (SPAN - 1), F.lit(False))
+    gone = F.coalesce(F.col("windows") == F.col("copies") * (F.col("n_words") - (SPAN - 1)), F.lit(False))
     whole = marked.where(gone).select("k1", "k2", F.col("n_words").alias("n_removed"), F.lit(NOTHING).alias("kept_sha256"))
-    needed = marked.withColumn("gone", gone).where("NOT gone OR jobs IS NOT NULL").drop("n_words")
+    needed = marked.withColumn("gone", gone).where("NOT gone OR jobs IS NOT NULL").drop("n_words", "windows", "copies")
     texts = materialise(spark, source.select("k1", "k2", "text").join(needed, ["k1", "k2"]), "repeats-texts")
     release(spark)
 
