@@ -129,9 +129,8 @@ def candidates(text: str, raw: bytes, base: list[Span]) -> Iterator[tuple[int, i
         s, e = m.span()
         if any(s < b and a < e for a, _, b in base):
             continue
-        p = random_p(m[0])
-        if p < 1:
-            yield s, e, sum(e - s >= c for c in CLASSES), min(LAST_STEP, int(-math.log10(max(p, 1e-300)) * STEPS))
+        if encoding_of(m[0]) is not None:
+            yield s, e, sum(e - s >= c for c in CLASSES), min(LAST_STEP, int(-math.log10(max(random_p(m[0]), 1e-300)) * STEPS))
 
 
 def thresholds(counts: dict[tuple[int, int], int], tests: dict[int, int], q: float = Q) -> dict[int, int]:
