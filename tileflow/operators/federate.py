@@ -4,24 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tileflow.operators.graph import Graph, endpoints
-
-#: Id ranges over which places are counted before they are added up.
-RANGES = 64
-
-
-def _places(vertices: DataFrame, by: str = "id") -> DataFrame:
-    """vertices with `place`: 0, 1, ... by id. Ranges of ids are numbered apart and set off by the sizes before."""
-    cuts = vertices.approxQuantile(by, [k / RANGES for k in range(1, RANGES)], 0.001)
-    part = sum((F.when(F.col(by) > c, 1).otherwise(0) for c in sorted({*cuts})), F.lit(0))
-    v = vertices.withColumn("part", part)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start = v.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
-    return v.withColumn("own", own).join(start, "part").withColumn("place", (F.col("own") + F.col("start")).cast("long")).drop("part", "own", "start")
-
+from tileflow.operators.order import numbered
+from tileflow.plans.lineage import cut
 
 def downsample(edges: DataFrame, scale: float) -> DataFrame:
     """The out-edges of every int(1 / scale)-th source by id; their destinations stay whether sampled or not."""
@@ -29,7 +15,7 @@ def downsample(edges: DataFrame, scale: float) -> DataFrame:
         raise ValueError("scale is not in (0, 1]")
     step = int(1 / scale)
     sources = edges.select(F.col("src").alias("id")).distinct()
-    kept = _places(sources).where(F.pmod("place", F.lit(step)) == 0).select(F.col("id").alias("src"))
+    kept = numbered(sources, ["id"], "place").where(F.pmod("place", F.lit(step)) == 0).select(F.col("id").alias("src"))
     return edges.join(kept, "src", "left_semi")
 
 
@@ -45,7 +31,7 @@ def replicate(graph: Graph, parties: int, stride: int) -> Graph:
 def inter_edges(vertices: DataFrame, parties: int, stride: int, edges: int, ratio: float, degree: int = 8) -> DataFrame:
     """Edges from every party to every other: the first `degree` vertices of one to the first int(int(edges * ratio) / degree) of another, counts cut off as integers."""
     destinations = int(int(edges * ratio) / degree)
-    v = _places(vertices.select("id").distinct())
+    v = numbered(vertices.select("id").distinct(), ["id"], "place")
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(parties) for b in range(parties) if a != b])) if parties > 1 else None
     sources = v.where(F.col("place") < degree).select(F.col("id").alias("src"))
     if pairs is None or not destinations:
@@ -75,10 +61,8 @@ def partition_edge_cut(edges: DataFrame, parts: int, rounds: int = 4, imbalance:
     """
     if parts < 1 or imbalance < 1:
         raise ValueError("parts or imbalance is below 1")
-    from tileflow.plans.lineage import cut
-
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    placed = _places(endpoints(edges))
+    placed = numbered(endpoints(edges), ["id"], "place")
     n = placed.count()
     room = -(-n * imbalance // parts)
     now = cut(placed.select("id", F.floor(F.col("place") * parts / F.lit(max(n, 1))).cast("int").alias("tile")))

@@ -10,17 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tileflow.errors import DuplicateKey, NotFound, OutOfRange
 from tileflow.functions.scalars import next_pow2
+from tileflow.operators.order import numbered
 from tileflow.sources.text import reversed_too
 
 
-#: Ranges that ids are cut into where an order over all vertices is asked for.
-ID_RANGES = 32
-
-
 def endpoints(edges: DataFrame) -> DataFrame:
     """The distinct ids at either end."""
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
@@ -116,8 +112,7 @@ class Graph:
 
     def mirror_positions(self) -> DataFrame:
         """Mirrors in the order in which one tile tells another of them: by id."""
-        w = Window.partitionBy("tile", "master_tile").orderBy("vid")
-        return self.mirrors().withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+        return numbered(self.mirrors(), ["vid"], "position", ["tile", "master_tile"])
 
     def tile_counts(self) -> DataFrame:
         """tile, vertices, edges, mirrors of every tile."""
@@ -153,20 +148,9 @@ class Graph:
         return self.edges.withColumn("is_dummy", F.lit(False)).unionByName(self.dummy_edges(rotation).drop("slot"))
 
     def positions_by_degree(self, rotation: bool = False) -> DataFrame:
-        """id, padded_deg, position: largest padded degree first, then by id.
-
-        Ids are cut into ranges at quantiles; a position is the size of what comes before (one count for each degree
-        and range: few rows) and the place within the range, so no task sorts all vertices of a degree.
-        """
-        d = self.padded_degrees(rotation).select("id", "padded_deg")
-        cuts = d.approxQuantile("id", [k / ID_RANGES for k in range(1, ID_RANGES)], 0.001)
-        part = sum((F.when(F.col("id") > c, 1).otherwise(0) for c in sorted({*cuts})), F.lit(0))
-        d = d.withColumn("part", part)
-        sizes = d.groupBy("padded_deg", "part").agg(F.count("*").alias("n"))
-        before = Window.orderBy(F.desc("padded_deg"), "part").rowsBetween(Window.unboundedPreceding, -1)
-        start = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-        place = F.row_number().over(Window.partitionBy("padded_deg", "part").orderBy("id"))
-        return d.withColumn("place", place).join(start, ["padded_deg", "part"]).select("id", "padded_deg", (F.col("start") + F.col("place") - 1).cast("long").alias("position"))
+        """id, padded_deg, position: largest padded degree first, then by id."""
+        d = self.padded_degrees(rotation).select("id", "padded_deg", (-F.col("padded_deg")).alias("descending"))
+        return numbered(d, ["descending", "id"], "position").drop("descending")
 
     def first_of_runs(self) -> DataFrame:
         """The first edge of each destination in (dst, src, weight) order."""
@@ -174,12 +158,11 @@ class Graph:
 
     def tile_ordinals(self) -> DataFrame:
         """id, tile, label: each vertex's place by id in its tile."""
-        return self.vertices.withColumn("label", (F.row_number().over(Window.partitionBy("tile").orderBy("id")) - 1).cast("long"))
+        return numbered(self.vertices, ["id"], "label", ["tile"])
 
     def edge_slots(self) -> DataFrame:
         """Edges with their tiles and `slot`, an edge's place among those of the same pair of tiles, by source and destination."""
-        w = Window.partitionBy("src_tile", "dst_tile").orderBy("src", "dst", "weight")
-        return self.tiled_edges().withColumn("slot", (F.row_number().over(w) - 1).cast("long"))
+        return numbered(self.tiled_edges(), ["src", "dst", "weight"], "slot", ["src_tile", "dst_tile"])
 
     def on_slots(self, state: DataFrame) -> DataFrame:
         """state (id, columns) laid out on the edge slots: src_tile, dst_tile, slot, dst and the source's columns."""
@@ -199,8 +182,8 @@ class Graph:
 
     def run_bounds(self) -> DataFrame:
         """Edges in (dst, src) order with is_last: whether the next one has another destination."""
-        w = Window.partitionBy("dst").orderBy("src", "weight")
-        return self.edges.withColumn("is_last", F.lead("src").over(w).isNull())
+        n = self.edges.groupBy("dst").agg(F.count("*").alias("n_"))
+        return numbered(self.edges, ["src", "weight"], "place_", ["dst"]).join(n, "dst").select("src", "dst", "weight", (F.col("place_") == F.col("n_") - 1).alias("is_last"))
 
     def merge_rounds(self) -> DataFrame:
         """dst, updates, rounds: how many rounds of pairwise merges a vertex's updates take."""

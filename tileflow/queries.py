@@ -113,7 +113,7 @@ def graph_vertices(spark, sf_dir):
     return _graph(spark, sf_dir).vertices
 
 
-@query("""SELECT src, dst, count(*) AS weight FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS dst
+@query("""SELECT src, dst, count(*) AS weight FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst
 FROM events WHERE event_type = 'purchase') WHERE dst IS NOT NULL GROUP BY ALL""")
 def graph_user_next(spark, sf_dir):
     return derive.next_users(spark, sf_dir)

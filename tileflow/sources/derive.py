@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from tileflow.operators.order import numbered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,12 @@ def next_items(spark: SparkSession, sf_dir: str, key: str = "l_partkey", flag: s
 
 
 def next_users(spark: SparkSession, sf_dir: str, event_type: str = "purchase") -> DataFrame:
-    """An edge from each event's user to the next one's, within an hour's events so that no task holds them all; weight counts them."""
-    events = _table(spark, sf_dir, "events").where(F.col("event_type") == event_type)
-    w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    pairs = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst IS NOT NULL")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    """An edge from each event's user to the next event's; weight counts them."""
+    events = _table(spark, sf_dir, "events").where(F.col("event_type") == event_type).select("ts", "event_id", "user_id")
+    placed = numbered(events, ["ts", "event_id"], "place")
+    a = placed.select(F.col("user_id").alias("src"), (F.col("place") + 1).alias("place"))
+    b = placed.select(F.col("user_id").alias("dst"), "place")
+    return a.join(b, "place").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def supplier_parts(spark: SparkSession, sf_dir: str, boundary: int = 10_000_000) -> DataFrame:
