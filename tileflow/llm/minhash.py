@@ -10,12 +10,15 @@ with fewer words has its whole sequence as its one shingle, a null or wordless t
 4. A candidate's other MATCHES min-hashes are compared STEP by STEP; after each step it is dropped if the posterior
    probability of a similarity of the threshold or more, from a uniform prior, is below MISS.
 5. Survivors are verified on their full sets; links give components.
-6. Buckets that still hold two components or more are compared in full, in blocks of BLOCK classes, each pair first by
-   step 4 and then on full sets until the two are joined; a block gives a forest of its links, never pairs. So no link
-   depends on which class leads a bucket.
-
-Rows that share a doc_id are one node of the components; each gives a row. Null ids stand alone. Shingles are compared
-as 64-bit hashes, sets as 128 bits.
+6. While a bucket of three or more still holds two components or more, STARS classes of its largest one, drawn by hash,
+   are compared in the same way with those outside it, in up to TURNS turns: large groups of near copies end here.
+7. In buckets that still hold two components or more, the classes outside the bucket's largest component are compared
+   with all its classes, in blocks of BLOCK, each pair first by step 4 and then on full sets until the two are joined; a
+   block gives a forest of its links, never pairs. So no link depends on which class leads a bucket.
+
+Rows that share a doc_id are one node of the components, and each gives a row; where their texts differ, links beyond
+equal sets are verified on one of the texts. Null ids stand alone. Shingles are compared as 64-bit hashes, sets as 128
+bits.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from tileflow.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS, MATCHES, STEP, MISS = 32, 4, 128, 32, 1e-6
-BLOCK = 256
+STARS, TURNS, BLOCK = 4, 1, 512
 _CHUNK = 4096
 
 _random = np.random.default_rng(20240229)
@@ -201,7 +204,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def compare_block(ids: list[int], components: list[int], rest: np.ndarray, texts: list[bytes], first: np.ndarray, percent: int, shingles: Shingles) -> list[tuple[int, int]]:
-    """Links that join different components among a block's classes, as a forest. first: which are of the left side (a block against itself: all)."""
+    """Links between different components, of a block's left side (first) with its right, as a forest."""
     root = {c: c for c in components}
 
     def find(c: int) -> int:
@@ -219,7 +222,7 @@ def compare_block(ids: list[int], components: list[int], rest: np.ndarray, texts
     found = []
     part = np.array(components)
     for k in np.flatnonzero(first):
-        others = np.flatnonzero((part != part[k]) & (~first | (np.arange(len(ids)) > k)))
+        others = np.flatnonzero((part != part[k]) & ~first)
         others = others[survives(np.broadcast_to(rest[k], (len(others), MATCHES)), rest[others], percent)]
         for o in others:
             if find(components[k]) != find(components[o]) and similar(hashes(k), hashes(o), percent):
@@ -228,18 +231,38 @@ def compare_block(ids: list[int], components: list[int], rest: np.ndarray, texts
     return found
 
 
-def _rest_of_links(members: DataFrame, rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """members: (key, id, component) of the buckets to compare in full."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    one = members.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
-    grid = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
-    full = grid.join(rest.select("id", "rest"), "id").join(texts, "id")
+def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, id, component, core, n, outside) of the buckets with three classes or more and two components or more.
+
+    core is the bucket's largest component; n classes are in the bucket, outside of them not in the core.
+    """
+    now = members.join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("core"), F.sum("n").alias("n")).select("key", F.col("core.component").alias("core"), "n", (F.col("n") - F.col("core.n")).alias("outside"))
+    return now.join(buckets.where("outside > 0 AND n > 2"), "key")
+
+
+def _star(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of STARS classes of each bucket's core, drawn by hash, with the classes outside."""
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(100 + turn * STARS + k)).alias("h"), "id")).alias(f"l{k}") for k in range(STARS)]
+    leaders = members.where("component = core").groupBy("key").agg(*drawn).select("key", F.array_distinct(F.array(*[F.col(f"l{k}.id") for k in range(STARS)])).alias("leaders"))
+    both = members.where("component <> core").select("key", "id").join(leaders, "key").select("id", F.explode("leaders").alias("l"))
+    return both.select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
+
+
+def _rest_of_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rest of the links of _unsettled() buckets."""
+    one = members.withColumns({"lefts": F.ceil(F.col("outside") / BLOCK).cast("int"), "rights": F.ceil(F.col("n") / BLOCK).cast("int")})
+    place = F.xxhash64("id", F.lit(3))
+    left = one.where("component <> core").select("key", "id", "component", F.lit(True).alias("left"), F.pmod(place, "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    right = one.select("key", "id", "component", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod(place, "rights").cast("int").alias("j"))
+    grid = left.union(right)
+    full = grid.join(texts, "id")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         matches = np.frombuffer(b"".join(group.column("rest").to_pylist()), np.uint16).reshape(-1, MATCHES)
-        first = np.ones(len(group), bool) if i == j else group.column("mine").to_numpy() == i
+        first = group.column("left").to_numpy()
         found = compare_block(group.column("id").to_pylist(), group.column("component").to_pylist(), matches, group.column("text").cast(pa.binary()).to_pylist(), first, percent, Shingles(size))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -257,16 +280,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, p
     pairs = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     rest = classes.select("id", "rest", "d1", "d2")
     pruned = materialise(spark, _prune(pairs, rest, percent), "minhash-pairs")
-    wanted = shared.select("id").distinct()
+    wanted = shared.select("id").distinct().join(rest.select("id", "rest"), "id")
     texts = materialise(spark, docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id").dropDuplicates(["id"]), "minhash-texts")
     links = materialise(spark, _verify(pruned, texts, size, percent), "minhash-links")
     component = connected_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = shared.select("key", "id").join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    members = materialise(spark, members, "minhash-members")
-    unsettled = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2 AND n > 2").select("key")
-    more = materialise(spark, _rest_of_links(members.join(unsettled, "key"), rest, texts, size, percent), "minhash-links")
+    members = materialise(spark, _unsettled(shared.select("key", "id"), component), "minhash-members")
+    for turn in range(TURNS):
+        found = materialise(spark, _verify(_prune(_star(members, turn), rest, percent), texts, size, percent), "minhash-links")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        component = connected_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        members = materialise(spark, _unsettled(members.select("key", "id"), component), "minhash-members")
+    found = materialise(spark, _rest_of_links(members, texts, size, percent), "minhash-links")
+    if not found.isEmpty():
+        component = connected_components(spark, links.union(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
     discard(spark, shared, pruned, texts, members)
-    component = connected_components(spark, links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_class = rest.join(component, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = read.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(of_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
