@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tileflow.llm.common import free_name, map_batches, ready
+from tileflow.llm.common import free_name, ready
 
 CELLS_LOG2, HASHES, PLANE = 20, 3, 64
 MIN_COUNT, SHARE, RELATIVE = 2, 1e-5, 0.05

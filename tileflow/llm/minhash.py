@@ -23,7 +23,6 @@ bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
 
