@@ -258,7 +258,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
 
     window = materialise(spark, _windows(texts), "repeats-windows")
     twice = window.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    starts = window.where("single").join(twice, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+    starts = materialise(spark, window.where("single").join(twice, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("start").alias("starts")), "repeats-starts")
+    discard(spark, window)
     part = _finish(texts.where("NOT gone").select("k1", "k2", "text", "ranges").join(starts, ["k1", "k2"], "left"))
     results = whole.union(part).dropDuplicates(["k1", "k2"])
     out = read.select("doc_id", "k1", "k2", "n_words", "whole").join(results, ["k1", "k2"], "left")
