@@ -1,8 +1,11 @@
+import collections
 import hashlib
+import math
 import random
 import re
 import string
 
+import pytest
 from conftest import ODD
 
 from tileflow.llm import secrets
@@ -50,6 +53,41 @@ def test_short_tokens_have_little_power():
     assert long < short / 3
 
 
+WRITTEN = "the quick committee has decided that meeting page number final version handler service example internal request response http json xml utf cfg query buffer zlib xyz java".split()
+
+
+def written_token(rng):
+    """A path, identifier or dated name of 20 characters or more that has an alphabet."""
+    while True:
+        w = [rng.choice(WRITTEN) for _ in range(rng.randint(3, 7))]
+        t = rng.choice(["".join(x.capitalize() for x in w), "_".join(w) + "_", "/".join(w), "".join(w), "_".join(w).upper() + "_V", "-".join(w) + "-2024-01-", "20240115T1030-" + "-".join(w[:2])]) + str(rng.randint(0, 99))
+        if len(t) >= 20 and secrets.encoding_of(t):
+            return t
+
+
+def grid_step(token):
+    return min(secrets.LAST_STEP, int(-math.log10(max(secrets.random_p(token), 1e-300)) * secrets.STEPS))
+
+
+@pytest.mark.parametrize(("n", "share", "least"), [(20, 0.1, 0.75), (24, 0.1, 0.85), (32, 0.1, 0.9), (40, 0.1, 0.9), (20, 0.01, 0.6), (24, 0.01, 0.75), (32, 0.01, 0.85), (40, 0.01, 0.9)])
+def test_short_keys_are_found_among_written_tokens(n, share, least):
+    rng = random.Random(n)
+    rest = [grid_step(written_token(rng)) for _ in range(4000)]
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits):
+        keys = [grid_step("".join(rng.choice(alphabet) for _ in range(n))) for _ in range(int(len(rest) * share))]
+        counts = collections.Counter((0, s) for s in rest + keys)
+        first = secrets.thresholds(counts, {0: len(rest) + len(keys)})[0]
+        found, wrong = sum(s >= first for s in keys), sum(s >= first for s in rest)
+        assert found >= least * len(keys)
+        assert wrong <= 0.05 * (found + wrong) + 1
+
+
+def test_written_tokens_alone_give_no_discovery():
+    rng = random.Random(11)
+    steps = [grid_step(written_token(rng)) for _ in range(4000)]
+    assert secrets.thresholds(collections.Counter((0, s) for s in steps), {0: len(steps)}) == {}
+
+
 def test_step_up():
     # 10 tests: p <= 10**-2 for three of them, the rest 1
     counts = {(1, 2 * secrets.STEPS): 3, (1, 0): 7}
