@@ -46,3 +46,18 @@ def test_partition_is_balanced_and_cuts_less(spark):
         return edges.join(a, "src").join(b, "dst").where("a <> b").count()
 
     assert cut(p) <= cut(p.withColumn("tile", F.pmod(F.xxhash64("vid"), F.lit(4)).cast("int")))
+
+
+@pytest.mark.parametrize("name", ["bfs_reach", "bfs_hops"])
+def test_searches_go_on_to_the_end(spark, name):
+    """The small graph has more levels than any fixed number of steps here: what they leave unreached is reached."""
+    seen = {r.src: set() for r in queries._graph(spark, SF).edges.collect()}
+    for r in queries._graph(spark, SF).edges.collect():
+        seen[r.src].add(r.dst)
+    reached = level = {min(seen)}
+    depth = 0
+    while level := {d for v in level for d in seen.get(v, ())} - reached:
+        reached, depth = reached | level, depth + 1
+    assert depth > queries.STEPS
+    got = queries.QUERIES[f"{name}_converged"](spark, SF).where("dist IS NOT NULL").collect()
+    assert {r.id for r in got} == reached and (name == "bfs_reach" or max(r.dist for r in got) == depth)

@@ -304,6 +304,52 @@ def cc_tile_ordinal(spark, sf_dir):
     return run(_kept(spark, sf_dir), alg.tile_components(4)).select("id", F.col("dist").alias("label"))
 
 
+# The same to the end, however many steps that takes
+
+
+def _finished(graph: Graph, kernel: Callable[[int], Kernel]) -> DataFrame:
+    """The state that no step changes. A least value is handed on by one edge a step at least, so there are no more steps than vertices."""
+    trace: list = []
+    result = run(graph, kernel(graph.vertices.count() + 1), until_converged=True, trace=trace)
+    if trace and trace[-1][1]:
+        raise RuntimeError(f"not converged after {len(trace)} steps")
+    return result
+
+
+_LEVELS = """h(id, hops) USING KEY (id) AS (SELECT min(src), 0 FROM e HAVING count(*) > 0
+  UNION SELECT e.dst, min(h.hops) + 1 FROM h JOIN e ON e.src = h.id LEFT JOIN recurring.h s ON s.id = e.dst WHERE s.id IS NULL GROUP BY e.dst)"""
+
+
+@query(f"""WITH RECURSIVE {E}, {_LEVELS}, p AS (SELECT b.id, min(a.id) AS pred FROM h b JOIN e ON e.dst = b.id JOIN h a ON a.id = e.src AND a.hops + 1 = b.hops GROUP BY b.id)
+SELECT v.id, CAST(CASE WHEN h.id IS NOT NULL THEN 0 END AS BIGINT) AS dist, p.pred FROM v LEFT JOIN h ON h.id = v.id LEFT JOIN p ON p.id = v.id""")
+def bfs_reach_converged(spark, sf_dir):
+    s = _source(g := _kept(spark, sf_dir))
+    return _finished(g, lambda n: alg.bfs_reach(s, n)).select("id", "dist", "pred")
+
+
+@query(f"WITH RECURSIVE {E}, {_LEVELS} SELECT v.id, CAST(h.hops AS BIGINT) AS dist FROM v LEFT JOIN h ON h.id = v.id")
+def bfs_hops_converged(spark, sf_dir):
+    s = _source(g := _kept(spark, sf_dir))
+    return _finished(g, lambda n: alg.bfs_hops(s, n)).select("id", "dist")
+
+
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT id, id AS label FROM v UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.id WHERE r.label < e.dst),
+l AS (SELECT id, min(label) AS label FROM r GROUP BY id), w AS (SELECT e.src, e.dst FROM e JOIN l a ON a.id = e.src JOIN l b ON b.id = e.dst AND b.label = a.label),
+h(id, hops) USING KEY (id) AS (SELECT id, 0 FROM l WHERE id = label
+  UNION SELECT w.dst, min(h.hops) + 1 FROM h JOIN w ON w.src = h.id LEFT JOIN recurring.h s ON s.id = w.dst WHERE s.id IS NULL GROUP BY w.dst),
+p AS (SELECT b.id, min(a.id) AS pred FROM h b JOIN w ON w.dst = b.id JOIN h a ON a.id = w.src AND a.hops + 1 = b.hops GROUP BY b.id)
+SELECT l.id, l.label, p.pred FROM l LEFT JOIN p ON p.id = l.id""")
+def cc_directed_converged(spark, sf_dir):
+    return _finished(_kept(spark, sf_dir), alg.components).select("id", F.col("dist").alias("label"), "pred")
+
+
+@query(f"""WITH RECURSIVE {E}, w AS (SELECT id, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS o FROM v),
+r AS (SELECT id, o AS label FROM w UNION SELECT e.dst, r.label FROM r JOIN e ON e.src = r.id JOIN w ON w.id = e.dst WHERE r.label < w.o)
+SELECT id, CAST(min(label) AS BIGINT) AS label FROM r GROUP BY id""")
+def cc_tile_ordinal_converged(spark, sf_dir):
+    return _finished(_kept(spark, sf_dir), alg.tile_components).select("id", F.col("dist").alias("label"))
+
+
 def _rank(spark, sf_dir, mode, **more):
     return run(_kept(spark, sf_dir), alg.pagerank(mode, max_iters=RANK_STEPS, **more)).select("id", F.round(F.col("rank") + 1e-8, 6).alias("rank"))
 
