@@ -61,3 +61,26 @@ def test_searches_go_on_to_the_end(spark, name):
     assert depth > queries.STEPS
     got = queries.QUERIES[f"{name}_converged"](spark, SF).where("dist IS NOT NULL").collect()
     assert {r.id for r in got} == reached and (name == "bfs_reach" or max(r.dist for r in got) == depth)
+
+
+def test_whole_graphs_have_the_lines_of_every_flag(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").collect()
+    at = {}
+    for r in lines:
+        at.setdefault((r.l_orderkey, r.l_linenumber), []).append((r.l_partkey, int(r.l_quantity)))
+    least = {}
+    for (order, n), here in at.items():
+        for dst, w in at.get((order, n + 1), ()):
+            for src, _ in here:
+                least[src, dst] = min(w, least.get((src, dst), w))
+    got = {(r.src, r.dst): r.weight for r in queries.QUERIES["graph_edges_whole"](spark, SF).collect()}
+    assert got == least
+    assert len(got) > 2 * queries.QUERIES["graph_edges"](spark, SF).count()
+    degrees = queries.QUERIES["out_degree_whole"](spark, SF).collect()
+    assert sum(r.out_deg for r in degrees) == len(least)
+    assert queries.QUERIES["fed_partition_whole"](spark, SF).count() == len({v for e in least for v in e})
+
+
+def test_every_query_over_the_flagged_lines_has_a_whole_one():
+    flagged = {n for n, sql in queries.ORACLE_SQL.items() if "l_returnflag" in sql} | {"fed_partition"}
+    assert flagged and all(f"{n}_whole" in queries.QUERIES for n in flagged)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: The graphs are derived from the order lines with this flag; None: from all of them, as the queries whose name ends in _whole do.
+_FLAG: ContextVar[str | None] = ContextVar("flag", default="R")
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_edges(derive.next_items(spark, sf_dir), F.pmod("id", F.lit(TILES)))
+    return Graph.from_edges(derive.next_items(spark, sf_dir, flag=_FLAG.get()), F.pmod("id", F.lit(TILES)))
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> Graph:
     """The same graph with its edges kept, for loops that read them more than once."""
-    return Graph.from_edges(derive.next_items(spark, sf_dir).persist(), F.pmod("id", F.lit(TILES)))
+    return Graph.from_edges(derive.next_items(spark, sf_dir, flag=_FLAG.get()).persist(), F.pmod("id", F.lit(TILES)))
 
 
 def _source(graph: Graph) -> int:
@@ -562,3 +568,27 @@ def metrics_amortised(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run"), F.col("event_type").alias("tag"), "value")
     wide = metrics.amortised(metrics.wide(e, ["purchase", "view"], {"total": ["purchase", "view"]}), "purchase", "view", 20)
     return wide.select("run", F.round("total", 6).alias("total"), F.round("amortised", 6).alias("amortised"))
+
+
+# The same over every order line, whatever its flag
+
+_FLAGGED = "WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' "
+
+
+def _on_all_lines(f: Query) -> Query:
+    @wraps(f)
+    def whole(spark, sf_dir):
+        before = _FLAG.set(None)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _FLAG.reset(before)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    return whole
+
+
+for _name, _query in list(QUERIES.items()):
+    _sql = ORACLE_SQL.get(_name)
+    if _name == "fed_partition" or (_sql and _FLAGGED in _sql):
+        query(_sql and _sql.replace(_FLAGGED, ""))(_on_all_lines(_query))
