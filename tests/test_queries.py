@@ -84,3 +84,11 @@ def test_whole_graphs_have_the_lines_of_every_flag(spark):
 def test_every_query_over_the_flagged_lines_has_a_whole_one():
     flagged = {n for n, sql in queries.ORACLE_SQL.items() if "l_returnflag" in sql} | {"fed_partition"}
     assert flagged and all(f"{n}_whole" in queries.QUERIES for n in flagged)
+
+
+def test_edges_between_owners_follow_the_edge_count(spark):
+    for whole in ("", "_whole"):
+        edges, vertices = queries.QUERIES[f"graph_edges{whole}"](spark, SF).count(), queries.QUERIES[f"graph_vertices{whole}"](spark, SF).count()
+        got = queries.QUERIES[f"fed_inter_edges_counted{whole}"](spark, SF).select("src", "dst").distinct().count()
+        assert got == min(int(edges * 0.4) // 8, vertices) * 8 * 2
+    assert got != 50 * 8 * 2

@@ -485,6 +485,15 @@ def fed_inter_edges(spark, sf_dir):
     return federate.inter_edges(_graph(spark, sf_dir).vertices, 2, 100_000_000, 1000, 0.4)
 
 
+@query(f"""WITH {E}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v),
+n AS (SELECT CAST(floor(floor(count(*) * 2 * 0.4 / 2) / 8) AS BIGINT) AS destinations FROM e)
+SELECT s.id + a.p * 100000000 AS src, d.id + b.p * 100000000 AS dst, CAST(1 AS BIGINT) AS weight FROM p s, p d, n, range(2) a(p), range(2) b(p)
+WHERE s.k < 8 AND d.k < n.destinations AND a.p <> b.p""")
+def fed_inter_edges_counted(spark, sf_dir):
+    g = _kept(spark, sf_dir)
+    return federate.inter_edges(g.vertices, 2, 100_000_000, g.edges.count(), 0.4)
+
+
 @query(f"WITH {E}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT src AS id FROM e)) SELECT e.* FROM e JOIN p ON p.id = e.src AND k % 5 = 0")
 def fed_downsample(spark, sf_dir):
     return federate.downsample(_graph(spark, sf_dir).edges, 0.2)
