@@ -92,3 +92,9 @@ def test_edges_between_owners_follow_the_edge_count(spark):
         got = queries.QUERIES[f"fed_inter_edges_counted{whole}"](spark, SF).select("src", "dst").distinct().count()
         assert got == min(int(edges * 0.4) // 8, vertices) * 8 * 2
     assert got != 50 * 8 * 2
+
+
+def test_every_edge_scatters(spark):
+    got = queries.QUERIES["scatter_sssp_all_whole"](spark, SF).select("pred", "dst").collect()
+    edges = queries.QUERIES["graph_edges_whole"](spark, SF).select("src", "dst").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, edges)) and any(r.pred % 2 for r in got)

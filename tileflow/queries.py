@@ -251,6 +251,11 @@ def scatter_sssp_once(spark, sf_dir):
     return e.select("dst", (F.lit(1) + F.col("weight")).alias("dist"), F.col("src").alias("pred"))
 
 
+@query(f"WITH {E} SELECT dst, 1 + weight AS dist, src AS pred FROM e")
+def scatter_sssp_all(spark, sf_dir):
+    return _graph(spark, sf_dir).edges.select("dst", (F.lit(1) + F.col("weight")).alias("dist"), F.col("src").alias("pred"))
+
+
 @query(f"WITH {T} SELECT src_tile, dst, min(weight) AS least FROM t WHERE src_tile <> dst_tile GROUP BY ALL")
 def premerge_min(spark, sf_dir):
     return _graph(spark, sf_dir).tiled_edges().where("src_tile <> dst_tile").groupBy("src_tile", "dst").agg(F.min("weight").alias("least"))
