@@ -98,3 +98,21 @@ def test_every_edge_scatters(spark):
     got = queries.QUERIES["scatter_sssp_all_whole"](spark, SF).select("pred", "dst").collect()
     edges = queries.QUERIES["graph_edges_whole"](spark, SF).select("src", "dst").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, edges)) and any(r.pred % 2 for r in got)
+
+
+def test_an_unfinished_run_is_an_error_and_the_steps_suffice(spark):
+    from tileflow.operators.graph import graph
+    from tileflow.plans import algorithms as alg
+
+    line = graph(spark, [(k, k + 1) for k in range(9)])
+    with pytest.raises(RuntimeError):
+        queries._finished(line, lambda n: alg.components(3, undirected=True))
+    assert {r.dist for r in queries._finished(line, lambda n: alg.components(n, undirected=True)).collect()} == {0}
+
+
+def test_undirected_components_have_no_fixed_end(spark, monkeypatch):
+    asked = []
+    real = queries._finished
+    monkeypatch.setattr(queries, "_finished", lambda g, kernel: asked.append(kernel(7).max_iters) or real(g, kernel))
+    queries.cc_undirected(spark, SF)
+    assert asked == [7]

@@ -307,7 +307,7 @@ def cc_directed(spark, sf_dir):
   SELECT id, id AS label FROM v UNION SELECT b.dst, r.label FROM r JOIN b ON b.src = r.id WHERE r.label < b.dst)
 SELECT id, min(label) AS label FROM r GROUP BY id""")
 def cc_undirected(spark, sf_dir):
-    return run(_kept(spark, sf_dir), alg.components(100, undirected=True), until_converged=True).select("id", F.col("dist").alias("label"))
+    return _finished(_kept(spark, sf_dir), lambda n: alg.components(n, undirected=True)).select("id", F.col("dist").alias("label"))
 
 
 @query(f"WITH {E}, w AS (SELECT id, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS o FROM v), " + _steps("SELECT id, CAST(o AS BIGINT) AS dist, CAST(NULL AS BIGINT) AS pred FROM w", _PATH_STEP.format(length="0", edges="e"), 4) + " SELECT id, dist AS label FROM s4")
