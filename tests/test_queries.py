@@ -116,3 +116,13 @@ def test_undirected_components_have_no_fixed_end(spark, monkeypatch):
     monkeypatch.setattr(queries, "_finished", lambda g, kernel: asked.append(kernel(7).max_iters) or real(g, kernel))
     queries.cc_undirected(spark, SF)
     assert asked == [7]
+
+
+def test_factors_are_those_of_the_default_model(spark):
+    from tileflow.plans import algorithms as alg
+
+    got = queries.als_factors(spark, SF).persist()
+    assert {len(r.f) for r in got.collect()} == {5}
+    g = queries._ratings(spark, SF)
+    short = alg.als_error(g, queries.run(g, alg.als(queries.BOUNDARY, max_iters=4))).first().error
+    assert alg.als_error(g, got.select("id", "f")).first().error < short

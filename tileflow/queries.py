@@ -449,7 +449,7 @@ def als_sse(spark, sf_dir):
 @query()
 def als_factors(spark, sf_dir):
     g = _ratings(spark, sf_dir)
-    return run(Graph(g.vertices, g.edges.persist()), alg.als(BOUNDARY, rank=3, max_iters=4)).select("id", alg.role(F.col("id"), BOUNDARY).alias("role"), "f")
+    return run(Graph(g.vertices, g.edges.persist()), alg.als(BOUNDARY)).select("id", alg.role(F.col("id"), BOUNDARY).alias("role"), "f")
 
 
 @query(f"WITH {R} SELECT src AS id, CASE WHEN src < {BOUNDARY} THEN 'USER' ELSE 'MOVIE' END AS role, count(*) AS ratings FROM b WHERE weight > 0.1 GROUP BY src")
