@@ -58,6 +58,43 @@ def test_padding_changes_no_minimum(small):
     assert pairs(padded, "dst", "m") == pairs(small.edges.groupBy("dst").agg(F.min("src").alias("m")), "dst", "m")
 
 
+def test_mirrors_are_padded_with_their_first_source(spark):
+    from tileflow.plans import algorithms as alg
+    from tileflow.plans.supersteps import run
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    g = graph(spark, [(4, 1), (0, 1), (2, 1), (0, 3), (1, 0), (3, 5)], {0: 0, 2: 0, 4: 0, 1: 1, 3: 1, 5: 1})
+    assert pairs(g.mirror_dummies(), "src", "dst", "weight", "tile", "slot") == [(0, 1, -1, 0, 4)]
+    kernel = alg.sssp(0, 4)
+    padded = replace(kernel, edges=lambda g: g.padded_edges(), valid=lambda step: ~F.col("is_dummy") & F.col("dist").isNotNull())
+    assert sorted(map(repr, run(g, padded).select("id", "dist", "pred").collect())) == sorted(map(repr, run(g, kernel).select("id", "dist", "pred").collect()))
+    assert pairs(g.merged_in_pairs(), "dst", "updates", "rounds") == [(0, 1, 0), (1, 3, 2), (3, 1, 0), (5, 1, 0)]
+    assert pairs(g.traffic(8), "src_tile", "dst_tile", "phase", "rounds", "messages", "bytes") == [(0, 1, "gather", 1, 2, 16), (0, 1, "premerge", 2, 3, 24), (0, 1, "scatter", 1, 2, 16), (1, 0, "gather", 1, 1, 8), (1, 0, "premerge", 0, 0, 0), (1, 0, "scatter", 1, 1, 8)]
+
+
+def test_tiles_by_expression_or_by_table_are_the_same(spark, small):
+    from pyspark.sql import functions as F
+
+    from tileflow.operators.graph import Graph
+
+    by_id = Graph.from_edges(small.edges, F.floor(F.col("id") / 2))
+    columns = ("src", "dst", "weight", "src_tile", "dst_tile")
+    assert pairs(by_id.tiled_edges(), *columns) == pairs(small.tiled_edges(), *columns)
+    assert by_id.tiled_edges()._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_a_finished_graph_takes_nothing_more(spark, small):
+    from tileflow.errors import Frozen
+
+    done = small.freeze()
+    with pytest.raises(Frozen):
+        done.add_edges(small.edges)
+    with pytest.raises(Frozen):
+        done.add_vertices(small.vertices)
+
+
 def test_empty_graph(spark):
     g = graph(spark, []).check()
     assert g.out_degrees().count() == g.mirrors().count() == g.positions_by_degree().count() == 0

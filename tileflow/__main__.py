@@ -20,6 +20,7 @@ from tileflow.functions import metrics
 from tileflow.operators import federate
 from tileflow.operators.graph import Graph
 from tileflow.plans import algorithms as alg
+from tileflow.plans.lineage import cut
 from tileflow.plans.supersteps import Kernel, run
 from tileflow.sources import sinks, text
 
@@ -51,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--boundary", type=int, default=10_000_000)
             c.add_argument("--rank", type=int, default=5)
             c.add_argument("--lambda", dest="lam", type=float, default=0.05)
+            c.add_argument("--error-every", type=int, default=0, help="print the error after each so many steps")
             c.add_argument("--tolerance", type=float, default=1e-2)
     for name in ("synthesise", "partition"):
         c = commands.add_parser(name)
@@ -62,7 +64,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--scale", type=float, default=0.2)
             c.add_argument("--degree", type=int, default=8)
         else:
-            c.add_argument("--imbalance", type=float, default=1.1)
+            c.add_argument("--imbalance", type=float, default=1.05)
+            c.add_argument("--seed", type=int, default=1115)
     c = commands.add_parser("format")
     c.add_argument("edges")
     c.add_argument("--out", required=True)
@@ -86,7 +89,7 @@ def kernel(a: argparse.Namespace) -> Kernel:
 def load(spark: SparkSession, a: argparse.Namespace) -> Graph:
     if a.tiles != 1 and not a.partition:
         raise GraphError("several tiles need a partition file")
-    edges = text.read_edges(spark, a.edges, a.weight, a.undirected).persist()
+    edges = cut(text.read_edges(spark, a.edges, a.weight, a.undirected))
     if not a.partition:
         return Graph.from_edges(edges)
     return Graph.from_partition(edges, text.read_partition(spark, a.partition, a.tiles, a.merge), a.lenient)
@@ -97,22 +100,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("tileflow").getOrCreate()
     try:
         if a.command in ALGORITHMS:
-            result = run(load(spark, a), kernel(a), until_converged=a.until_converged)
+            graph, errors = load(spark, a), []
+            k = kernel(a)
+            if a.command == "als":
+                k = alg.with_errors(k, graph, a.error_every, errors)
+            result = run(graph, k, until_converged=a.until_converged)
+            for step, error in errors:
+                print(f"step {step}: error {error}")
             payload = sinks.rank_text(F.col("rank")) if a.command == "pagerank" else sinks.vector_text(F.col("f")) if a.command == "als" else sinks.path_text(F.col("dist"), F.col("pred"))
             if a.out:
                 sinks.write_results(result, payload, a.out)
             else:
                 result.write.format("noop").mode("overwrite").save()
         elif a.command == "synthesise":
-            g = federate.synthesise(text.read_edges(spark, a.edges).persist(), a.parties, a.ratio, a.scale, a.degree)
-            sinks.write_edges(g.edges, f"{a.out}/edges")
-            sinks.write_partition(g.vertices.select(F.col("id").alias("vid"), "tile"), f"{a.out}/partition")
+            g = federate.synthesise(cut(text.read_edges(spark, a.edges)), a.parties, a.ratio, a.scale, a.degree)
+            sinks.write_edges(g.edges, f"{a.out}/edges", header=f"{a.parties} parties")
+            sinks.write_partition(g.vertices.select(F.col("id").alias("vid"), "tile"), f"{a.out}/partition", f"{a.parties} partitions")
         elif a.command == "partition":
-            sinks.write_partition(federate.partition_edge_cut(text.read_edges(spark, a.edges).persist(), a.parties, imbalance=a.imbalance), a.out)
+            sinks.write_partition(federate.partition_edge_cut(cut(text.read_edges(spark, a.edges)), a.parties, a.imbalance, seed=a.seed), a.out, f"{a.parties} partitions")
         elif a.command == "format":
             sinks.write_edges(text.read_csv_edges(spark, a.edges), a.out)
         else:
-            metrics.means(text.read_metrics(spark, a.log, a.marker), a.double).orderBy("tag").show(1000, truncate=False)
+            for r in metrics.means(text.read_metrics(spark, a.log, a.marker), a.double).orderBy("tag").toLocalIterator():
+                print(f"{r.tag}\t{r.mean}\t{r.n}")
     except (GraphError, ValueError) as e:
         print(f"tileflow: {e}", file=sys.stderr)
         return 1

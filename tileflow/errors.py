@@ -23,3 +23,7 @@ class NotFound(GraphError):
 
 class Frozen(GraphError):
     """A change to a finished graph."""
+
+
+class NotConverged(GraphError):
+    """A run that was to go on until nothing changes and came to its last step before."""

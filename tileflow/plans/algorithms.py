@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Literal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ def _path_kernel(name: str, source: int | None, length: Column, max_iters: int)
         combine={"best": F.min("m")},
         apply={"dist": F.when(better, F.col("best.dist")).otherwise(F.col("dist")), "pred": F.when(better, F.col("best.pred")).otherwise(F.col("pred"))},
         changed=~F.col("dist").eqNullSafe(F.col("old_dist")) | ~F.col("pred").eqNullSafe(F.col("old_pred")),
+        frontier=True,  # a distance that was sent before is no less than what has been taken
         max_iters=max_iters,
     )
 
@@ -52,7 +55,7 @@ def bfs_hops(source: int, max_iters: int = 1000) -> Kernel:
 
 
 def components(max_iters: int = 1000, undirected: bool = False) -> Kernel:
-    """The smallest id that reaches a vertex, in column dist; against the edges too if undirected."""
+    """The smallest id that reaches a vertex, in column dist; against the edges too if undirected (plans.components needs fewer steps for that)."""
     k = _path_kernel("components", None, F.lit(0).cast("long"), max_iters)
     if undirected:
         k.edges = lambda g: reversed_too(g.edges)
@@ -125,6 +128,14 @@ def als_normal_equations(rank: int) -> tuple[dict[str, Column], dict[str, Column
     return scatter, {n: F.sum(n) for n in scatter}
 
 
+def _solve_all(m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The solutions of a stack of equations; least squares for those without one (no lam, too few ratings)."""
+    try:
+        return np.linalg.solve(m, y[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(m, y, strict=True)])
+
+
 def als(boundary: int = 10_000_000, rank: int = 5, lam: float = 0.05, tolerance: float = 1e-2, max_iters: int = 10, seed: int = 0) -> Kernel:
     """f: feature vectors; users are sent to in even steps, movies in odd ones, each solved with lam * degree added to the diagonal."""
     if lam < 0 or rank < 1:
@@ -134,22 +145,19 @@ def als(boundary: int = 10_000_000, rank: int = 5, lam: float = 0.05, tolerance:
 
     @F.pandas_udf("array<double>")
     def solve(b: pd.Series, a: pd.Series, n: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for y, half, degree in zip(b, a, n, strict=True):
-            m = np.zeros((rank, rank))
-            for (i, j), x in zip(pairs, half, strict=True):
-                m[i, j] = m[j, i] = x
-            m += lam * degree * np.eye(rank)
-            y = np.asarray(y, float)
-            try:
-                out.append(np.linalg.solve(m, y))
-            except np.linalg.LinAlgError:  # without lam, too few ratings
-                out.append(np.linalg.lstsq(m, y, rcond=None)[0])
+        got = b.notna().to_numpy()
+        out = np.empty(len(b), object)
+        if got.any():
+            half, m = np.stack(a[got].to_list()), np.zeros((got.sum(), rank, rank))
+            for k, (i, j) in enumerate(pairs):
+                m[:, i, j] = m[:, j, i] = half[:, k]
+            m += lam * n[got].to_numpy(float)[:, None, None] * np.eye(rank)
+            solved = _solve_all(m, np.stack(b[got].to_list()).astype(float))
+            out[np.flatnonzero(got)] = [*solved]
         return pd.Series(out)
 
-    new = solve(F.array(*[F.col(f"b{i}") for i in range(rank)]), F.array(*[F.col(f"a{i}_{j}") for i, j in pairs]), F.col("in_deg"))
+    sent = F.col("b0").isNotNull()  # only vertices with messages are solved for
+    new = solve(F.when(sent, F.array(*[F.col(f"b{i}") for i in range(rank)])), F.when(sent, F.array(*[F.col(f"a{i}_{j}") for i, j in pairs])), F.col("in_deg"))
     return Kernel(
         name="als",
         init=lambda g: als_start(g, boundary, rank, seed),
@@ -157,17 +165,25 @@ def als(boundary: int = 10_000_000, rank: int = 5, lam: float = 0.05, tolerance:
         valid=lambda step: F.col("id") < boundary if step % 2 else F.col("id") >= boundary,
         scatter=scatter,
         combine=combine,
-        apply={"f": F.when(F.col("b0").isNotNull(), new).otherwise(F.col("f"))},
+        apply={"f": F.coalesce(new, F.col("f"))},
         changed=squared_norm(subtract(F.col("f"), F.col("old_f"))) >= tolerance * tolerance,
         max_iters=max_iters,
     )
 
 
 def als_error(graph: Graph, features: DataFrame) -> DataFrame:
-    """error: half the squared differences between ratings and the products of features."""
+    """error: the squared differences between known ratings, an edge each, and the products of features."""
     u = features.select(F.col("id").alias("src"), F.col("f").alias("fu"))
     m = features.select(F.col("id").alias("dst"), F.col("f").alias("fm"))
     both = graph.edges.join(u, "src").join(m, "dst")
-    return both.agg((F.sum(F.pow(F.col("weight") - inner(F.col("fu"), F.col("fm")), 2)) / 2).alias("error"))
+    return both.agg(F.sum(F.pow(F.col("weight") - inner(F.col("fu"), F.col("fm")), 2)).alias("error"))
+
+
+def with_errors(kernel: Kernel, graph: Graph, every: int, errors: list[tuple[int, float]]) -> Kernel:
+    """The kernel, which adds (step, als_error) to errors after each so many steps."""
 
+    def note(step: int, state: DataFrame) -> None:
+        if every and step % every == 0:
+            errors.append((step, als_error(graph, state).first().error))
 
+    return replace(kernel, on_step=note)

@@ -12,8 +12,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def next_items(spark: SparkSession, sf_dir: str, key: str = "l_partkey", flag: str | None = "R") -> DataFrame:
-    """An edge from each order line's key to the next line's, weighted by the least quantity; flag restricts both lines."""
+def next_items(spark: SparkSession, sf_dir: str, key: str = "l_partkey", flag: str | None = None) -> DataFrame:
+    """An edge from each order line's key to the next line's, weighted by the least quantity; flag, if given, restricts both lines."""
     lines = _table(spark, sf_dir, "lineitem")
     if flag:
         lines = lines.where(F.col("l_returnflag") == flag)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tileflow.schema import UNREACHED_TEXT
-
+# Fixed value: what a vertex without a path prints.
+UNREACHED_TEXT = "Can not reach <- none"
 
 def path_text(distance: Column, predecessor: Column) -> Column:
     """A path algorithm's payload. A vertex without a predecessor, the source too, prints as unreached."""
@@ -34,10 +34,23 @@ def write_results(vertices: DataFrame, payload: Column, path: str) -> None:
     (out.partitionBy("tile") if "tile" in lines.columns else out).text(path)
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
+def _lines(df: DataFrame, value: Column, header: str | None) -> DataFrame:
+    """value, and before it (in a file of its own) a comment line if header is given."""
+    lines = df.select(value.alias("value"))
+    return lines if header is None else df.sparkSession.createDataFrame([(f"# {header}",), ("",)], "value string").coalesce(1).union(lines)
+
+
+def write_edges(edges: DataFrame, path: str, separator: str = " ", header: str | None = None) -> None:
+    """`src dst [weight]` lines."""
     columns = [c for c in ("src", "dst", "weight") if c in edges.columns]
-    edges.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.mode("overwrite").text(path)
+    _lines(edges, F.concat_ws(separator, *[F.col(c).cast("string") for c in columns]), header).write.mode("overwrite").text(path)
+
+
+def write_partition(partition: DataFrame, path: str, header: str | None = None) -> None:
+    """`vid<TAB>tile` lines."""
+    _lines(partition, F.concat_ws("\t", F.col("vid").cast("string"), F.col("tile").cast("string")), header).write.mode("overwrite").text(path)
 
 
-def write_partition(partition: DataFrame, path: str) -> None:
-    partition.select(F.concat_ws("\t", F.col("vid").cast("string"), F.col("tile").cast("string")).alias("value")).write.mode("overwrite").text(path)
+def write_metrics(metrics: DataFrame, path: str, marker: str = "::") -> None:
+    """`<marker>tag value` lines of (tag, value)."""
+    metrics.select(F.concat(F.lit(marker), "tag", F.lit(" "), F.col("value").cast("string")).alias("value")).write.mode("overwrite").text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileflow.errors import DuplicateKey, FormatError, OutOfRange
+from tileflow.operators.order import numbered
 
 
 def effective_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -83,3 +84,11 @@ def read_sections(spark: SparkSession, path: str, separator: str = "|") -> DataF
     rows = text.select(section.alias("part")).select(F.trim(F.split("part", "\n")[0]).alias("section"), F.posexplode(F.slice(F.split("part", "\n"), 2, 1 << 30)).alias("position", "line")).where("trim(line) <> ''")
     cells = F.transform(F.split(F.trim(F.trim("line"), F.lit(separator)), f"\\{separator}"), lambda x: F.trim(x))
     return rows.select("section", "position", cells.alias("cells"))
+
+
+def dense_ratings(ratings: DataFrame) -> DataFrame:
+    """ratings (user, movie, rating) with user_index and movie_index: 0, 1, ... by id."""
+    for kind in ("user", "movie"):
+        index = numbered(ratings.select(kind).distinct(), [kind], f"{kind}_index")
+        ratings = ratings.join(index, kind)
+    return ratings.select("user", "movie", "rating", "user_index", "movie_index")
