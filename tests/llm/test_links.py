@@ -60,9 +60,9 @@ def brute_vectors(rows, threshold=0.93):
     return {i: (len(links[i]), c[i], c[i] == i) for i, _, _ in rows}
 
 
-@pytest.mark.parametrize("per_pivot", [40, 10**9])
-def test_vector_links(spark, monkeypatch, per_pivot):
-    monkeypatch.setattr(vector_links, "PER_PIVOT", per_pivot)
+@pytest.mark.parametrize("root", [0.8, 4, 10**9])
+def test_vector_links(spark, monkeypatch, root):
+    monkeypatch.setattr(vector_links, "PIVOTS_ROOT", root)
     monkeypatch.setattr(vector_links, "HOME_BLOCK", 16)
     monkeypatch.setattr(vector_links, "MEMBER_BLOCK", 32)
     rows = vectors(4)
@@ -71,6 +71,29 @@ def test_vector_links(spark, monkeypatch, per_pivot):
     assert got == brute_vectors(rows)
 
 
+def test_vectors_that_share_an_id_are_one_node(spark):
+    a, b, near_b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.1]
+    rows = [(1, a, 0), (5, a, 0), (5, b, 0), (7, near_b, 0), (5, None, 0), (9, b, 1)]
+    for order in (rows, rows[::-1]):
+        got = sorted(tuple(r) for r in vector_links.link_vectors(spark, spark.createDataFrame(order, "vec_id long, embedding array<float>, label int")).collect())
+        assert got == sorted([(1, 1, 1, True), (5, 1, 1, False), (5, 1, 1, False), (7, 1, 1, False), (5, 0, 1, False), (9, 0, 9, True)])
+
+
+def test_clustered_vectors_are_copied_to_few_cells(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    v = vector_links._unit(centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 24)) * 0.1)
+    pivots = v[vector_links.farthest_first(v[:500], 16)]
+    home, member, _ = vector_links.cells_for(v, pivots, math.sqrt(2 - 2 * 0.93))
+    assert len(np.unique(home)) == 16 and member.sum() / len(v) < 5
+    rows = spark.createDataFrame([(k, [float(x) for x in row], int(k % 2)) for k, row in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_links.link_vectors(spark, rows).collect()}
+    for label in (0, 1):
+        at = np.arange(label, 4000, 2)
+        want = (v[at] @ v[at].T >= 0.93).sum(axis=1) - 1
+        assert [got[k] for k in at.tolist()] == want.tolist()
+
+
 def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vector_links.link_vectors(spark, spark.createDataFrame([], schema)).count() == 0
@@ -81,9 +104,11 @@ def test_cells_hold_every_partner():
     rng = np.random.default_rng(1)
     v = vector_links._unit(np.concatenate([rng.normal(size=(200, 5)), rng.normal(size=(40, 5)).repeat(5, 0) + rng.normal(size=(200, 5)) * 0.1]))
     eps = math.sqrt(2 - 2 * 0.93)
-    home, member = vector_links.cells_for(v, v[:12], eps)
-    assert all(member[j, home[i]] for i, j in zip(*np.nonzero(v @ v.T >= 0.93), strict=True))
-    assert member.mean() < 0.9
+    home, member, gap = vector_links.cells_for(v, v[:12], eps)
+    for i, j in zip(*np.nonzero(v @ v.T >= 0.93), strict=True):
+        assert int(member[j, home[i]]) + int(member[i, home[j]]) == (2 if home[i] == home[j] else 1)
+        assert abs(gap[i, home[i]] - gap[j, home[i]]) <= eps + 1e-9
+    assert member.mean() < 0.5
 
 
 def brute_sets(rows, size, percent):
@@ -122,6 +147,14 @@ def test_minhash(spark, docs, monkeypatch, seed, block):
     assert got == brute_sets(rows, 4, 80)
 
 
+def test_rows_that_share_an_id_and_differ(spark, docs):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (1, b), (2, b + " more"), (1, None), (3, a + " more"), (4, ""), (None, b)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = sorted(repr(tuple(r)) for r in minhash.near_duplicates(spark, docs(order)).collect())
+        assert got == brute_sets(order, 4, 80)
+
+
 def test_a_chain_whose_leader_links_with_few(spark, docs):
     """Each text is like the next, the first and the last aren't: all is one component all the same."""
     w = [f"u{k}" for k in range(120)]

@@ -25,12 +25,13 @@ def test_language_of_held_out_documents(spark):
 def test_language_edges_and_many_languages(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(100 + k, sentences(lang, rng, 30), lang) for k in range(60) for lang in WORDS]
-    rows += [(i, t, None) for i, t in ODD] + [(50, "123 !? ...", "aa"), (51, "zzzz qqqq", "aa")]
+    rows += [(i, t, None) for i, t in ODD] + [(50, "123 !? ...", "aa"), (51, "zzzz qqqq", None), (52, "Ω", None), (53, sentences("aa", rng, 30), "aa"), (54, sentences("aa", rng, 30), "aa"), (56, sentences("aa", rng, 30), "aa")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
     out = language_id.identify_documents(spark, df)
     assert out.count() == len(rows)
     got = {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}
     assert got[50] == got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[51] == got[52] == ("aa", 0.0)  # letters, but none of the trigrams is known: the language of most training rows
     assert language_id.identify_documents(spark, df.limit(0)).count() == 0
     # 70 languages need a second plane of bits
     def invented(k):
@@ -42,6 +43,40 @@ def test_language_edges_and_many_languages(spark, monkeypatch):
     assert sum(model.predict(invented(k))[0] == f"l{k:02}" for k in range(70)) >= 69
 
 
+def test_trigrams_and_predictions_against_brute_force(spark):
+    """Trigrams by regular expression, sets for the filter: the same languages but for a text with a tie or a false positive."""
+    import collections
+    import re
+
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+
+    def grams(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        s = f" {' '.join(words)} "
+        return [s[k : k + 3] for k in range(len(s) - 2)] if words else []
+
+    counts = collections.defaultdict(collections.Counter)
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(grams(r.text))
+    for r in docs[:50]:
+        assert len(language_id.trigrams(r.text)) == len(grams(r.text))
+    share = {x: {g: n / c.total() for g, n in c.items() if n >= language_id.MIN_COUNT and n / c.total() >= language_id.SHARE} for x, c in counts.items()}
+    top = collections.Counter()
+    for s in share.values():
+        for g, x in s.items():
+            top[g] = max(top[g], x)
+    known = {x: {g for g, y in s.items() if y >= top[g] * language_id.RELATIVE} for x, s in share.items()}
+    out = {r.doc_id: r for r in language_id.identify_documents(spark, spark.createDataFrame(docs)).collect()}
+    same = 0
+    for r in docs:
+        g = grams(r.text)
+        hits = {x: sum(y in known[x] for y in g) for x in sorted(known)}
+        best = max(hits, key=lambda x: hits[x]) if g else "und"
+        same += out[r.doc_id].lang_pred == best and abs(out[r.doc_id].score - (hits[best] / len(g) if g else 0)) < 0.02
+    assert same >= 0.99 * len(docs)
+
+
 def test_filter_returns_the_languages_of_a_trigram():
     model = language_id.Filter(["a", "b"], [np.zeros(1 << language_id.CELLS_LOG2, np.uint64)])
     grams = {0: language_id.trigrams("hello"), 1: language_id.trigrams("world hello")}

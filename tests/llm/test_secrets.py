@@ -44,6 +44,56 @@ def test_battery_tells_random_from_written():
     written = ["thecommitteehasdecidedthatthemeeting1", "a" * 30 + "1", "abababababababababababababab12", "src/main/java/org/example/service/Handler2", "0" * 30 + "a", "documentation_page_number_2024_final_version", "internationalization", "12345678901234567890"]
     assert min(map(secrets.random_p, written)) > 0.2
     assert secrets.random_p("+" * 20 + "-") == 1.0
+    words = ["chpfheitschverheiten", "anbletitionthtionbletion", "Einungtzheitgeungverlich", "donaudampfschifffahrtsgesellschaft", "electroencephalographically", "UNCHARACTERISTICALLY", "InternationalBusinessMachinesCorporation"]
+    assert min(map(secrets.random_p, words)) > 0.2
+    letters = sorted(secrets.random_p("".join(rng.choice(string.ascii_letters) for _ in range(48))) for _ in range(100))
+    small = sorted(secrets.random_p("".join(rng.choice(string.ascii_lowercase) for _ in range(48))) for _ in range(100))
+    assert letters[80] < 1e-6 and small[60] < 1e-3
+
+
+def test_every_long_run_is_tested_beside_and_inside_base_spans():
+    rng = random.Random(3)
+    key, hexes = random_token(rng, 40), "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    text = f'é api_key = "{key}" and token={hexes}== then {"x" * 19} or {key}.{key}'
+    got = [(s, e) for s, e, _, _ in secrets.candidates(text, text.encode())]
+    assert [text[s:e] for s, e in got] == [key, hexes + "==", key, key]
+    base, every = secrets.spans_of(text.encode(), {k: 1 for k in range(9)})
+    assert set(base) < set(every) and sum(k == 3 for _, k, _ in every) == 4
+    assert secrets.redactor({k: 1 for k in range(9)})(text.encode()).count(key) == 0
+    assert secrets.spans_of(b"\xff\xfe secret=abcdefghijklmn \xe9", {})[0] == [(3, 0, 24)]
+
+
+def test_work_is_linear_in_the_text():
+    import time
+
+    rng = random.Random(2)
+    took = []
+    for n in (1500, 6000):
+        raw = " ".join(f"token={random_token(rng, 24)}" for _ in range(n)).encode()
+        began = time.perf_counter()
+        secrets.spans_of(raw, {})
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_planted_keys_are_found_in_documents(spark, docs):
+    """Random keys of 32 to 64 characters, of letters only too, are found at their places; words and plain texts aren't touched."""
+    from conftest import ODD
+
+    rng = random.Random(12)
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters, "0123456789ABCDEF"]
+    rows, places = list(ODD), {}
+    for k in range(300):
+        filler = " ".join(written_token(rng) for _ in range(6))
+        key = "".join(rng.choice(kinds[k % 3]) for _ in range(rng.choice([32, 40, 64]))) if k % 2 else ""
+        places[1000 + k] = (len(filler) + 1, len(filler) + 1 + len(key)) if key else None
+        rows.append((1000 + k, f"{filler} {key} {filler}"))
+    found = wrong = 0
+    for r in secrets.scan_documents(spark, docs(rows)).where("doc_id >= 1000").collect():
+        spans = {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")}
+        found += places[r.doc_id] in spans
+        wrong += len(spans - {places[r.doc_id]})
+    assert found >= 145 and wrong <= 10
 
 
 def test_short_tokens_have_little_power():

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,6 +13,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tileflow.plans.lineage import shared_path
+
 #: Rows in one Arrow batch: bounds a Python worker's memory when some texts are very long.
 ARROW_ROWS = 256
 
@@ -37,18 +38,9 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tileflow_shared", None)
-    if not base:
-        base = sc._tileflow_shared = f"file://{tempfile.mkdtemp(prefix='tileflow-shared-')}"
-    return f"{base.rstrip('/')}/tileflow/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    path = shared_dir(spark, name)
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     _made(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)

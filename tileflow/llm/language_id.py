@@ -13,8 +13,9 @@ count over n, from 0 to 1.
 Size: 2 ** CELLS_LOG2 cells for each 64 languages, whatever the corpus; that filter is all that is broadcast. Counts
 are added by key and never gathered.
 
-Texts that are null or without a letter give `und` and 0; so does every text where nothing could be learned or no
-trigram is known. Rows with a null lang teach nothing. Repeated rows each give a row. Only text is an input.
+Texts that are null or without a letter give `und` and 0, and so does every text where nothing could be learned. A text
+with letters of which no trigram is known gets the language that most training rows have (the first name at a tie), with
+a score of 0. Rows with a null lang teach nothing. Repeated rows each give a row. Only text is an input.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tileflow.llm.common import free_name, ready
+from tileflow.llm.common import discard, free_name, materialise, ready
 
 CELLS_LOG2, HASHES, PLANE = 20, 3, 64
 MIN_COUNT, SHARE, RELATIVE = 2, 1e-5, 0.05
@@ -68,6 +69,7 @@ def cells_of(grams: np.ndarray) -> list[np.ndarray]:
 class Filter:
     languages: list[str]
     planes: list[np.ndarray]  # cells, 64 languages each
+    prior: str = UNDECIDED  # for texts that say nothing
 
     def __post_init__(self) -> None:
         size = 1 << CELLS_LOG2
@@ -89,7 +91,7 @@ class Filter:
         corrected = np.round(np.maximum(hits - n * self.false, 0) / (1 - self.false), 6)
         best = int(np.argmax(corrected))
         if corrected[best] <= 0:
-            return UNDECIDED, 0.0
+            return self.prior, 0.0
         return self.languages[best], float(min(1.0, corrected[best] / n))
 
 
@@ -125,11 +127,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, training: DataFrame) -> Filter:
     """A filter from all rows (text, lang) whose lang isn't null."""
     ready(spark)
-    counts = training.where(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    labelled = training.where(F.col("lang").isNotNull())
+    counts = materialise(spark, labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-trigrams")
     totals = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # one row a language
     languages = sorted(totals)
     if not languages:
+        discard(spark, counts)
         return Filter([], [])
+    rows = {r.lang: r.n for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    prior = min(languages, key=lambda x: (-rows[x], x))
     index = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.struct(F.lit(i).alias("i"), F.lit(float(totals[lang])).alias("total")))])
     shares = counts.where(F.col("n") >= MIN_COUNT).withColumn("at", index[F.col("lang")]).select("gram", F.col("at.i").alias("i"), (F.col("n") / F.col("at.total")).alias("share")).where(F.col("share") >= SHARE)
     by_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("i", "share")).alias("in"))  # at most one entry a language
@@ -146,18 +152,19 @@ def fit(spark: SparkSession, training: DataFrame) -> Filter:
     which, cell, mask = (found.column(c).to_numpy() for c in ("plane", "cell", "mask"))
     for p, plane in enumerate(planes):
         plane[cell[which == p]] = mask[which == p].view(np.uint64)
-    return Filter(languages, planes)
+    discard(spark, counts)
+    return Filter(languages, planes, prior)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Filter, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with the predicted language and its score added; all rows and columns stay."""
     ready(spark)
-    shared = spark.sparkContext.broadcast((model.languages, [p.tobytes() for p in model.planes]))
+    shared = spark.sparkContext.broadcast((model.languages, [p.tobytes() for p in model.planes], model.prior))
     text = free_name(docs, "text_read")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, planes = shared.value
-        filled = Filter(languages, [np.frombuffer(p, np.uint64) for p in planes])
+        languages, planes, prior = shared.value
+        filled = Filter(languages, [np.frombuffer(p, np.uint64) for p in planes], prior)
         for b in batches:
             i = b.schema.names.index(text)
             pairs = [filled.predict(t) for t in b.column(i).to_pylist()]

@@ -3,7 +3,7 @@
 A text's set is its distinct shingles of SHINGLE words; words are [^\\x20\\x09-\\x0D]+ after A-Z is lower-cased; a text
 with fewer words has its whole sequence as its one shingle, a null or wordless text has none and links with nothing.
 
-1. Texts with equal sets are one class, whose smallest id stands for it from here on.
+1. Texts with equal sets are one class, known by a number of its own from here on.
 2. BANDS x ROWS min-hashes give each class BANDS keys; classes that share a key are in one bucket. A pair at the
    threshold of 0.8 misses every bucket with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
 3. In each bucket every class is a candidate with the bucket's smallest (a star, not all pairs).
@@ -13,12 +13,12 @@ with fewer words has its whole sequence as its one shingle, a null or wordless t
 6. While a bucket of three or more still holds two components or more, STARS classes of its largest one, drawn by hash,
    are compared in the same way with those outside it, in up to TURNS turns: large groups of near copies end here.
 7. In buckets that still hold two components or more, the classes outside the bucket's largest component are compared
-   with all its classes, in blocks of BLOCK, each pair first by step 4 and then on full sets until the two are joined; a
-   block gives a forest of its links, never pairs. So no link depends on which class leads a bucket.
+   with all its classes, in blocks of BLOCK: first by step 4 on min-hashes alone, which leaves the classes with any
+   survivor; then, of these, on full sets, pair by pair until the two are joined. A block gives a forest of its links,
+   never pairs. So no link depends on which class leads a bucket.
 
-Rows that share a doc_id are one node of the components, and each gives a row; where their texts differ, links beyond
-equal sets are verified on one of the texts. Null ids stand alone. Shingles are compared as 64-bit hashes, sets as 128
-bits.
+Rows that share a doc_id are one node of the components, and each gives a row: their classes are joined like linked ones,
+and every one's links count. Null ids stand alone. Shingles are compared as 64-bit hashes, sets as 128 bits.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileflow.llm.common import Memo, as_bytes, discard, map_batches, materialise, ready
-from tileflow.llm.components import connected_components
+from tileflow.llm.components import connected_components, same_ids, with_components
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS, MATCHES, STEP, MISS = 32, 4, 128, 32, 1e-6
-STARS, TURNS, BLOCK = 4, 1, 512
+STARS, TURNS, BLOCK = 4, 1, 256
 _CHUNK = 4096
 
 _random = np.random.default_rng(20240229)
@@ -128,8 +128,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("t", F.xxhash64("text"))
+
+
 def _read(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, set size, 128 bits of the set, band keys and the other min-hashes; the last four null without a set."""
+    """doc_id, a hash of the text, set size, 128 bits of the set, band keys and the other min-hashes; the last four null without a set."""
 
     def make():
         shingles = Shingles(size)
@@ -149,11 +153,11 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
                 else:
                     for x in (d1, d2, keys, rest):
                         x.append(None)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.binary()), pa.array(rest, pa.binary())], ["doc_id", "n", "d1", "d2", "keys", "rest"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.binary()), pa.array(rest, pa.binary())], ["doc_id", "t", "n", "d1", "d2", "keys", "rest"])
 
         return one
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n long, d1 long, d2 long, keys binary, rest binary")
+    return map_batches(_source(docs), make, "doc_id long, t long, n long, d1 long, d2 long, keys binary, rest binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -230,15 +234,19 @@ def compare_block(ids: list[int], components: list[int], rest: np.ndarray, texts
     return found
 
 
-def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
+def _unsettled(spark: SparkSession, members: DataFrame, component: DataFrame) -> DataFrame:
     """(key, id, component, core, n, outside) of the buckets with three classes or more and two components or more.
 
-    core is the bucket's largest component; n classes are in the bucket, outside of them not in the core.
+    core is the bucket's largest component; n classes are in the bucket, outside of them not in the core. The buckets are
+    written first: a join with a table alone can be split where a bucket is large.
     """
-    now = members.join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    now = materialise(spark, members.join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")), "minhash-now")
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("core"), F.sum("n").alias("n")).select("key", F.col("core.component").alias("core"), "n", (F.col("n") - F.col("core.n")).alias("outside"))
-    return now.join(buckets.where("outside > 0 AND n > 2"), "key")
+    some = materialise(spark, buckets.where("outside > 0 AND n > 2"), "minhash-unsettled")
+    out = materialise(spark, now.join(some, "key"), "minhash-members")
+    discard(spark, now, some)
+    return out
 
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
@@ -249,57 +257,92 @@ def _star(members: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
 
 
-def _rest_of_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _rest_of_links(spark: SparkSession, members: DataFrame, rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The rest of the links of _unsettled() buckets."""
     one = members.withColumns({"lefts": F.ceil(F.col("outside") / BLOCK).cast("int"), "rights": F.ceil(F.col("n") / BLOCK).cast("int")})
     place = F.xxhash64("id", F.lit(3))
     left = one.where("component <> core").select("key", "id", "component", F.lit(True).alias("left"), F.pmod(place, "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
     right = one.select("key", "id", "component", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod(place, "rights").cast("int").alias("j"))
-    grid = left.union(right)
-    full = grid.join(texts, "id")
+    columns = ["key", "i", "j", "id", "component", "left"]
 
-    def compare(group: pa.Table) -> pa.Table:
+    def table(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         group = group.sort_by("id")
         matches = np.frombuffer(b"".join(group.column("rest").to_pylist()), np.uint16).reshape(-1, MATCHES)
-        first = group.column("left").to_numpy()
-        found = compare_block(group.column("id").to_pylist(), group.column("component").to_pylist(), matches, group.column("text").cast(pa.binary()).to_pylist(), first, percent, Shingles(size))
+        return group, matches, group.column("left").to_numpy(), group.column("component").to_numpy()
+
+    def narrow(group: pa.Table) -> pa.Table:
+        group, matches, first, part = table(group)
+        keep = np.zeros(len(group), bool)
+        for k in np.flatnonzero(first):
+            others = np.flatnonzero((part != part[k]) & ~first)
+            others = others[survives(np.broadcast_to(matches[k], (len(others), MATCHES)), matches[others], percent)]
+            keep[others] = True
+            keep[k] = len(others) > 0
+        return group.select(columns).filter(pa.array(keep))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group, matches, first, part = table(group)
+        found = compare_block(group.column("id").to_pylist(), part.tolist(), matches, group.column("text").cast(pa.binary()).to_pylist(), first, percent, Shingles(size))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    grid = left.union(right).select(columns).join(rest.select("id", "rest"), "id")
+    few = materialise(spark, grid.groupBy("key", "i", "j").applyInArrow(narrow, "key long, i int, j int, id long, component long, left boolean"), "minhash-survivors")
+    full = few.join(rest.select("id", "rest"), "id").join(texts.select("id", "text"), "id")
+    out = materialise(spark, full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "minhash-links")
+    discard(spark, few)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     ready(spark)
     read = materialise(spark, _read(docs, size), "minhash-sets")
-    classes = materialise(spark, read.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("rest").alias("rest")), "minhash-classes")
-    buckets = _buckets(classes)
-    leaders = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    shared = materialise(spark, buckets.join(leaders, "key").select("key", "id", "leader"), "minhash-buckets")
+    sets = read.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.first("keys").alias("keys"), F.first("rest").alias("rest"))
+    classes = materialise(spark, sets.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
+    has_set = F.coalesce(F.col("n") > 0, F.lit(False)) & F.col("doc_id").isNotNull()
+    known = read.where(has_set).select(F.col("doc_id").alias("id"), "t", "n", "d1", "d2").join(classes.select("d1", "d2", F.col("id").alias("c")), ["d1", "d2"]).select("id", "t", "n", "c")
+    rows = materialise(spark, known.union(read.where(~has_set).select("doc_id", "t", "n", F.lit(None).cast("long"))), "minhash-rows")
+    leaders = materialise(spark, _buckets(classes).groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "minhash-leaders")
+    shared = materialise(spark, _buckets(classes).join(leaders, "key").select("key", "id", "leader"), "minhash-buckets")
     pairs = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    rest = classes.select("id", "rest", "d1", "d2")
+    rest = classes.select("id", "rest")
     pruned = materialise(spark, _prune(pairs, rest, percent), "minhash-pairs")
-    wanted = shared.select("id").distinct().join(rest.select("id", "rest"), "id")
-    texts = materialise(spark, docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id").dropDuplicates(["id"]), "minhash-texts")
-    links = materialise(spark, _verify(pruned, texts, size, percent), "minhash-links")
-    component = connected_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = materialise(spark, _unsettled(shared.select("key", "id"), component), "minhash-members")
+    # one text for each class that shares a bucket, that of its smallest doc_id
+    stands = rows.where("c IS NOT NULL").groupBy(F.col("c").alias("id")).agg(F.min(F.struct(F.col("id"), "t")).alias("of")).select("id", F.col("of.id").alias("doc_id"), "of.t")
+    wanted = shared.select("id").distinct().join(stands, "id")
+    texts = materialise(spark, _source(docs).join(wanted, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"]), "minhash-texts")
+    links = [same_ids(rows), _links(materialise(spark, _verify(pruned, texts, size, percent), "minhash-links"))]
+    joined = lambda: connected_components(spark, _union(links))
+    component = joined()
+    members = _unsettled(spark, shared.select("key", "id"), component)
     for turn in range(TURNS):
         found = materialise(spark, _verify(_prune(_star(members, turn), rest, percent), texts, size, percent), "minhash-links")
         if found.isEmpty():
             break
-        links = links.union(found)
-        component = connected_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        members = materialise(spark, _unsettled(members.select("key", "id"), component), "minhash-members")
-    found = materialise(spark, _rest_of_links(members, texts, size, percent), "minhash-links")
+        links.append(_links(found))
+        component, before = joined(), members
+        members = _unsettled(spark, members.select("key", "id"), component)
+        discard(spark, before)
+    found = _rest_of_links(spark, members, rest, texts, size, percent)
     if not found.isEmpty():
-        component = connected_components(spark, links.union(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    discard(spark, shared, pruned, texts, members)
-    of_class = rest.join(component, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = read.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(of_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        links.append(_links(found))
+        component = joined()
+    discard(spark, shared, leaders, pruned, texts, members, classes, read)
+    out = with_components(spark, rows, component).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out, *more = parts
+    for p in more:
+        out = out.union(p)
+    return out
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are kept: of each component the smallest id's, of equal rows (doc_id, text) one; rows without an id stay."""
     kept = near_duplicates(spark, docs, size, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()

@@ -1,23 +1,27 @@
 """Secret scans: fixed patterns, and a randomness test battery for every long token.
 
 Base spans come from three patterns (KINDS). The battery adds spans of kind "random": each maximal run of
-[A-Za-z0-9+/_=-] of MIN_TOKEN characters or more is given the smallest alphabet of ENCODINGS that holds it (trailing
-"=" aside) and tested against the hypothesis that it was written:
+[A-Za-z0-9+/_-] of MIN_TOKEN characters or more, with up to two "=" behind it, is given the smallest alphabet of
+ENCODINGS that holds it (trailing "=" aside) and tested against the hypothesis that it was written. So the value of an
+assignment and a run inside any other base span are tested as well; a random span may lie beside or across a base one.
 
 * the p-value is the likelihood of the token as written over that as a uniform draw from its alphabet. Under any one of
   the models of writing it is under a with probability a at most (Markov's inequality), at every length, so it needs no
   margins; the largest likelihood of all models counts. Models: kinds of characters (small, capital, digit, sign) that
   stay the same with a probability of STAY or change as in words with capitals (CAPITALS), letters by their frequency in
-  text; and characters that repeat, follow or precede the one up to LAGS places back.
+  text; of letters alone, vowels and consonants that follow each other as in words of Latin script (SPOKEN), and such
+  words in which a pair of letters comes again (ECHO); and characters that repeat, follow or precede the one up to LAGS
+  places back.
 * chi-squared uniformity, runs above and below the alphabet's middle and serial correlation of neighbours each have to
   agree with a uniform draw: beyond GATE standard deviations the p-value is 1.
 
 False discoveries are held at Q by Benjamini and Hochberg's step-up within each
 length class, over the p-values of the whole corpus: a first pass counts them in a fixed grid (p rounded up to it), a
-second applies the thresholds. Tokens that overlap a base span are left to it.
+second applies the thresholds. Tokens of digits alone, of both +/ and -_, or under MIN_TOKEN characters aren't tested.
 
-Texts: null counts as empty; no spans give empty strings, whose SHA-256 is that of no bytes. An empty table gives an
-empty result. Repeated rows each give a row and count each in the step-up. Offsets are code points, ends exclusive.
+Texts: null counts as empty; bytes that aren't UTF-8 count as U+FFFD; no spans give empty strings, whose SHA-256 is that
+of no bytes. An empty table gives an empty result. Repeated rows each give a row and count each in the step-up. Offsets
+are code points, ends exclusive. The work is linear in the text.
 """
 
 from __future__ import annotations
@@ -37,17 +41,20 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 MIN_TOKEN = 20
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: By size; a token takes the first that holds all its characters.
 ENCODINGS = {
+    "base26": _LOWER,
+    "BASE26": _UPPER,
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
     "BASE36": _DIGITS + _UPPER,
+    "base52": _UPPER + _LOWER,
     "base62": _DIGITS + _UPPER + _LOWER,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
@@ -63,11 +70,14 @@ STAY, LAGS, REPEATS = (0.8, 0.95), 16, 0.9
 CAPITALS = ((0.74, 0.2, 0.03, 0.03), (0.85, 0.09, 0.03, 0.03), (0.03, 0.15, 0.77, 0.05), (0.25, 0.4, 0.3, 0.05))
 #: Letters in running text, a to z, in thousandths (English, German, French and Spanish roughly pooled).
 _TEXT = (83, 15, 31, 42, 141, 14, 19, 32, 72, 3, 7, 43, 27, 76, 66, 22, 5, 66, 68, 75, 35, 11, 11, 3, 12, 6)
+#: In words, the probability of a vowel after a consonant and of a consonant after a vowel; pairs of letters that come again.
+SPOKEN, ECHO = (0.42, 0.72), 0.3
+_VOWELS = frozenset("aeiouy")
 #: Lengths at which a new class begins, and steps of the p-value grid for a power of ten.
 CLASSES, STEPS, LAST_STEP = (20, 28, 36, 48, 64, 96, 160), 20, 400
 
 _IS_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-_IS_TOKEN = bytes(120 if chr(b) in _DIGITS + _LOWER + _UPPER + "+/_=-" else 32 for b in range(256))
+_IS_TOKEN = bytes(120 if chr(b) in _DIGITS + _LOWER + _UPPER + "+/_-" else 32 for b in range(256))
 
 Span = tuple[int, int, int]
 
@@ -84,6 +94,28 @@ _WITHIN = _within()
 _CHANGES = [[[math.log(x) for x in row] for row in m] for m in (*[[[p if i == j else (1 - p) / 3 for j in range(4)] for i in range(4)] for p in STAY], CAPITALS)]
 
 
+def spoken(body: str) -> float:
+    """The log likelihood of letters as in words: vowels and consonants in turn, each by its frequency in text, and at every
+    place, with a probability of ECHO, the letter that followed the same one earlier in the token."""
+    low = body.lower()
+    frequency = dict(zip(_LOWER, _TEXT, strict=True))
+    total = {True: sum(n for c, n in frequency.items() if c in _VOWELS), False: sum(n for c, n in frequency.items() if c not in _VOWELS)}
+    after: dict[str, str] = {}
+    score, last = math.log(1 / 2), None
+    for c in low:
+        vowel = c in _VOWELS
+        p = (0.85 * frequency[c] / total[vowel] + 0.15 / (6 if vowel else 20)) * (0.5 if last is None else (SPOKEN[1] if last in _VOWELS else SPOKEN[0]) if vowel != (last in _VOWELS) else 1 - (SPOKEN[1] if last in _VOWELS else SPOKEN[0]))
+        if last is not None:
+            if last in after:
+                p = (1 - ECHO) * p + ECHO * (after[last] == c)
+            after[last] = c
+        score += math.log(p)
+        last = c
+    # capitals: none, all, or the first of a word of eight letters or so
+    high = sum(c != d for c, d in zip(body, low, strict=True))
+    return score + (0.0 if high in (0, len(body)) else high * math.log(1 / 8) + (len(body) - high) * math.log(7 / 8))
+
+
 def written(body: str, values: list[int], size: int) -> float:
     """The largest log likelihood that a model of writing gives; values: the characters' places in an alphabet of so many."""
     kinds = [_WITHIN[c][0] for c in body]
@@ -93,14 +125,16 @@ def written(body: str, values: list[int], size: int) -> float:
     for lag in range(1, min(LAGS, len(values) // 2) + 1):
         hits = sum(abs(a - b) <= 1 for a, b in zip(values, values[lag:], strict=False))
         patterns.append(lag * one + hits * hit + (len(values) - lag - hits) * miss)
+    if body.isalpha():
+        patterns.append(spoken(body))
     return max(by_kind, *patterns)
 
 
 def encoding_of(token: str) -> str | None:
-    """The smallest alphabet that holds the token without its padding; None for a token of one class of characters only or of both +/ and -_."""
+    """The smallest alphabet that holds the token without its padding; None for a token without letters, of letters and signs alone, or of both +/ and -_."""
     body = token.rstrip("=")
     seen = frozenset(body)
-    if not any(c.isdigit() for c in seen) or not any(c.isalpha() for c in seen):
+    if not any(c.isalpha() for c in seen) or not (body.isalpha() or any(c.isdigit() for c in seen)):
         return None
     return next((name for name, a in _SETS.items() if seen <= a), None)
 
@@ -147,14 +181,12 @@ def base_spans(text: str, raw: bytes) -> list[Span]:
     return sorted(found)
 
 
-def candidates(text: str, raw: bytes, base: list[Span]) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, length class, step of the p-value grid) of the tokens that no base span touches."""
+def candidates(text: str, raw: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, length class, step of the p-value grid) of the tokens that have an alphabet."""
     if b"x" * MIN_TOKEN not in raw.translate(_IS_TOKEN):
         return
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        if any(s < b and a < e for a, _, b in base):
-            continue
         if encoding_of(m[0]) is not None:
             yield s, e, sum(e - s >= c for c in CLASSES), min(LAST_STEP, int(-math.log10(max(random_p(m[0]), 1e-300)) * STEPS))
 
@@ -180,8 +212,7 @@ def fit_thresholds(spark: SparkSession, docs: DataFrame) -> dict[int, int]:
             n: dict[tuple[int, int], int] = {}
             for raw in batch.column(0).to_pylist():
                 if raw and b"x" * MIN_TOKEN in raw.translate(_IS_TOKEN):
-                    text = raw.decode()
-                    for _, _, k, step in candidates(text, raw, base_spans(text, raw)):
+                    for _, _, k, step in candidates(raw.decode(errors="replace"), raw):
                         n[k, step] = n.get((k, step), 0) + 1
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.int32()), pa.array([s for _, s in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["k", "step", "n"])
 
@@ -198,9 +229,9 @@ def spans_of(raw: bytes | None, first: dict[int, int]) -> tuple[list[Span], list
     """Base spans, and those with what the battery adds."""
     if not raw:
         return [], []
-    text = raw.decode()
+    text = raw.decode(errors="replace")
     base = base_spans(text, raw)
-    more = [(s, 3, e) for s, e, k, step in candidates(text, raw, base) if step >= first.get(k, LAST_STEP + 1)]
+    more = [(s, 3, e) for s, e, k, step in candidates(text, raw) if step >= first.get(k, LAST_STEP + 1)]
     return base, sorted(base + more)
 
 
@@ -239,7 +270,7 @@ def redactor(first: dict[int, int], mask: str = "[secret]") -> Callable[[bytes |
     def redact(raw: bytes | None) -> str | None:
         if raw is None:
             return None
-        text = raw.decode()
+        text = raw.decode(errors="replace")
         out, at = [], 0
         for s, _, e in spans_of(raw, first)[1]:
             if s >= at:
