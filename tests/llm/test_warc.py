@@ -6,7 +6,7 @@ import pytest
 import zstandard
 
 from tileflow.llm import warc
-from tileflow.llm.common import shared_dir
+from tileflow.plans.lineage import shared_path
 
 PAGES = "page_id long, url string, html string"
 
@@ -27,7 +27,7 @@ def test_round_trip(spark):
 
 def test_payloads_and_dictionary(spark):
     rows = [(k, f"http://h/{k}", f"<html><body>page {k} " + "the same boilerplate " * 300 + "</body></html>") for k in range(600)]
-    folder = shared_dir(spark, "warc-test")
+    folder = shared_path(spark, "warc-test")
     manifest = warc.write_archives(spark, warc.record_kinds(spark.createDataFrame(rows, PAGES)).coalesce(1), folder)
     paths = [r.path for r in manifest.collect()]
     assert sum(r.records for r in manifest.collect()) == 600
@@ -82,8 +82,52 @@ def test_records_are_checked(raw, problem):
 
 def test_a_broken_file_gives_a_row_and_the_rest_is_read(spark, tmp_path):
     z = zstandard.ZstdCompressor()
-    (tmp_path / "a.warc.zst").write_bytes(z.compress(GOOD) + b"garbage!!")
+    (tmp_path / "a.warc.zst").write_bytes(z.compress(GOOD) + b"garbage!!" + z.compress(GOOD))
     (tmp_path / "b.warc.zst").write_bytes(z.compress(GOOD) * 2)
-    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.zst",) for n in "ab"], "path string")
+    (tmp_path / "c.warc.zst").write_bytes(z.compress(GOOD) + z.compress(GOOD)[:-9])
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.zst",) for n in "abc"], "path string")
     out = warc.read_archives(spark, paths).collect()
-    assert sorted((r.path[-10:], r.problem is None) for r in out) == [("a.warc.zst", False), ("a.warc.zst", True), ("b.warc.zst", True), ("b.warc.zst", True)]
+    assert sorted((r.path[-10], r.problem is None) for r in out) == [("a", False), ("a", True), ("a", True), ("b", True), ("b", True), ("c", False), ("c", True)]
+
+
+def test_reading_goes_on_behind_what_is_broken(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 50)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 16)
+    z = zstandard.ZstdCompressor(write_checksum=True)
+    one, two = z.compress(b"first" * 30), z.compress(bytes(range(256)) * 3)
+    bad = bytearray(two)
+    bad[40] ^= 255
+    kinds = lambda *parts: [x if isinstance(x, bytes) else None for x in frames_of(*parts)]
+    assert kinds(one, bytes(bad), two, one) == [b"first" * 30, None, bytes(range(256)) * 3, b"first" * 30]
+    assert kinds(one, warc.FRAME_MAGIC + b"no", warc.FRAME_MAGIC, one) == [b"first" * 30, None, b"first" * 30]
+    assert kinds(one, two[:-1]) == [b"first" * 30, None]
+    assert kinds(b"\x28\xb5\x2f", one) == [None, b"first" * 30]
+
+
+def test_a_path_without_scheme_is_the_default_file_systems(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    (tmp_path / "mounted").mkdir()
+    conf.set("fs.viewfs.mounttable.tests.link./data", f"file://{tmp_path}/mounted")
+    conf.set("fs.defaultFS", "viewfs://tests/")
+    try:
+        folder = warc.resolved(spark, "/data/archives")
+        assert folder == f"file://{tmp_path}/mounted/archives"
+        conf.set("fs.defaultFS", f"file://{tmp_path}")
+        assert warc.address("s3a://bucket/x") == "s3://bucket/x" and warc.address("file:/x/y") == "file:///x/y"
+        (tmp_path / "p.warc.zst").write_bytes(zstandard.ZstdCompressor().compress(GOOD))
+        conf.set("fs.defaultFS", "file:///")
+        assert warc.read_archives(spark, spark.createDataFrame([(f"{tmp_path}/p.warc.zst",)], "path string")).count() == 1
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_archives_are_deleted(spark):
+    from pathlib import Path
+
+    from tileflow.plans.lineage import shared_base
+
+    base = Path("/" + shared_base(spark).removeprefix("file:").lstrip("/"))
+    before = set(base.glob("**/*.warc.zst"))
+    warc.archive_pages(spark, spark.createDataFrame([(1, "u", "x")], PAGES)).collect()
+    assert set(base.glob("**/*.warc.zst")) == before

@@ -3,16 +3,18 @@
 A file is a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself plain or compressed, then one
 Zstandard frame for each record. The reader streams a file frame by frame, and checks of each record the version line,
 the mandatory fields, that the block has Content-Length bytes, that CR LF CR LF and nothing else follows, and the
-payload's digest; what fails is in the column `problem`, null for a sound record. A frame that can't be decoded gives
-one row with a problem and ends its file, as the next frame's place isn't known.
+payload's digest; what fails is in the column `problem`, null for a sound record. Bytes that can't be decoded give one
+row with a problem, and reading goes on with the next frame magic from which a whole frame decodes.
 
 Tables: pages (page_id, url, html); other columns aren't read. A null html is an empty payload, a null url is left out
 of the record. Of records with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id is the
 response and the others revisit it; rows that share that page_id are all responses, and a null page_id always revisits if any
 other has one. Smaller payloads are responses. An empty table gives an empty archive and result.
 
-Files are written with pyarrow's file systems to the shared folder; names are unique to an attempt, and only those in
-the manifest, which Spark commits, are read. So lost and repeated tasks leave nothing behind that counts.
+Files are written with pyarrow's file systems to a folder whose address Hadoop resolves once, on the driver: a path
+without a scheme is the cluster's default file system's, a mounted one is what it is mounted on, s3a is S3. Names are unique
+to an attempt, and only those in the manifest, which Spark commits, are read. So lost and repeated tasks leave nothing
+behind that counts.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.common import materialise, ready, shared_dir
+from tileflow.llm.common import discard, materialise, ready, remove
+from tileflow.plans.lineage import shared_path
 
 MIN_REVISIT = 1000
 #: Uncompressed bytes after which a task begins another file, and of records that a file's dictionary is made from.
 FILE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 1 << 20, 16 << 10
-READ_BYTES = 1 << 20
+READ_BYTES, PIECE_BYTES = 1 << 20, 8 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the formats.
@@ -86,6 +89,20 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder, made if need be, as an address that every machine understands alike."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return address(fs.resolvePath(path).toString())
+
+
+def address(uri: str) -> str:
+    """A Hadoop URI as pyarrow writes it."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    return re.sub(r"^file:/+", "file:///", uri)
+
+
 class Writer:
     """Writes records to files below a folder; each file's first records make its dictionary."""
 
@@ -142,6 +159,7 @@ class Writer:
 def write_archives(spark: SparkSession, kinds: DataFrame, folder: str) -> DataFrame:
     """Write a record for each row of record_kinds(); returns the manifest (path, records) of the files that count."""
     ready(spark)
+    folder = resolved(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(folder)
@@ -160,43 +178,67 @@ def write_archives(spark: SparkSession, kinds: DataFrame, folder: str) -> DataFr
 
 
 def frames(stream) -> Iterator[bytes | Exception]:
-    """Each frame's content from a file-like of bytes, the leading dictionary applied; an error ends it."""
-    data = stream.read(READ_BYTES)
-    decoder, first = zstandard.ZstdDecompressor(), True
-    while data:
-        while len(data) < 8 and (more := stream.read(READ_BYTES)):
-            data += more
-        if len(data) >= 8 and (magic := struct.unpack_from("<I", data)[0]) in SKIPPABLE:
-            size = 8 + struct.unpack_from("<I", data, 4)[0]
-            while len(data) < size and (more := stream.read(READ_BYTES)):
-                data += more
-            if len(data) < size:
-                yield ValueError("the skippable frame is cut off")
-                return
-            if first and magic == DICTIONARY_MAGIC:
-                raw = data[8:size]
-                try:
-                    raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw) if raw[:4] == FRAME_MAGIC else raw
-                    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-                except zstandard.ZstdError as e:
-                    yield ValueError(f"the dictionary can't be read: {e}")
-                    return
-            data, first = data[size:] or stream.read(READ_BYTES), False
-            continue
-        one, parts, first = decoder.decompressobj(), [], False
+    """Each frame's content from a file-like of bytes, the leading dictionary applied; an error for each stretch that can't be decoded."""
+    data, at = b"", 0
+    decoder, first, lost = zstandard.ZstdDecompressor(), True, False
+
+    def more() -> bool:
+        nonlocal data, at
+        new = stream.read(READ_BYTES)
+        data, at = data[at:] + new, 0
+        return bool(new)
+
+    def decode() -> bytes:
+        nonlocal at
+        one, parts, used, size = decoder.decompressobj(), [], 0, PIECE_BYTES
+        while not one.eof:
+            if at + used == len(data) and not more():
+                raise ValueError("the frame is cut off")
+            piece = data[at + used : at + used + size]
+            try:
+                parts.append(one.decompress(piece))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"the frame can't be decoded: {e}") from e
+            used += len(piece) - len(one.unused_data)
+            size = min(2 * size, READ_BYTES)
+        at += used
+        return b"".join(parts)
+
+    while True:
+        while len(data) - at < 8 and more():
+            pass
+        if at == len(data):
+            return
+        magic = struct.unpack_from("<I", data, at)[0] if len(data) - at >= 4 else 0
         try:
-            while True:
-                parts.append(one.decompress(data))
-                if one.eof:
-                    data = one.unused_data or stream.read(READ_BYTES)
-                    break
-                if not (data := stream.read(READ_BYTES)):
-                    yield ValueError("the frame is cut off")
+            if len(data) - at >= 8 and magic in SKIPPABLE:
+                size = 8 + struct.unpack_from("<I", data, at + 4)[0]
+                while len(data) - at < size and more():
+                    pass
+                if len(data) - at < size:
+                    raise ValueError("the skippable frame is cut off")
+                if first and magic == DICTIONARY_MAGIC:
+                    raw = data[at + 8 : at + size]
+                    try:
+                        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw) if raw[:4] == FRAME_MAGIC else raw
+                        decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+                    except zstandard.ZstdError as e:
+                        raise ValueError(f"the dictionary can't be read: {e}") from e
+                at += size
+            else:
+                found = decode()
+                lost = False
+                yield found
+        except ValueError as e:
+            if not lost:
+                yield e
+            lost = True
+            while (there := data.find(FRAME_MAGIC, at + 1)) < 0:
+                at = max(at, len(data) - 4)
+                if not more():
                     return
-        except zstandard.ZstdError as e:
-            yield ValueError(f"the frame can't be decoded: {e}")
-            return
-        yield b"".join(parts)
+            at = there
+        first = False
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -261,6 +303,7 @@ def parse_record(raw: bytes) -> dict:
 def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row of RECORD_SCHEMA for each record of the files in paths (path string); a task reads one file after another."""
     ready(spark)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -274,7 +317,7 @@ def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = Tr
         types |= {n: pa.string() for n in names if n not in types}
         for b in batches:
             for path in b.column(0).to_pylist():
-                fs, place = FileSystem.from_uri(path)
+                fs, place = FileSystem.from_uri(address(path if re.match(r"[A-Za-z][\w+.-]*:", path) else default + path))
                 held, size = [], 0
                 with fs.open_input_stream(place, compression=None) as stream:
                     for f in frames(stream):
@@ -295,8 +338,12 @@ def read_archives(spark: SparkSession, paths: DataFrame, with_payload: bool = Tr
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write pages to archives in the shared folder, read them back and return a row a page; a record with a problem raises."""
-    manifest = write_archives(spark, record_kinds(pages), shared_dir(spark, "warc"))
+    """Write pages to archives in the shared folder, read them back and return a row a page; a record with a problem raises. The archives are deleted."""
+    folder = shared_path(spark, "warc")
+    manifest = write_archives(spark, record_kinds(pages), folder)
     records = read_archives(spark, manifest, with_payload=False).where("problem IS NOT NULL OR record_type <> 'warcinfo'")
     sound = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("a WARC record isn't sound: "), F.col("problem"))).cast("long")).otherwise(F.col("page_id"))
-    return records.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = materialise(spark, records.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    discard(spark, manifest)
+    remove(spark, folder)
+    return out
