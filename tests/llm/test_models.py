@@ -137,15 +137,79 @@ def test_leaks(spark, docs):
     assert decontaminate.find_leaks(spark, docs([]), bench).count() == 0
 
 
-def test_shards_find_the_same(spark, monkeypatch):
-    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    one = sorted(map(tuple, decontaminate.find_leaks(spark, docs, bench).select("doc_id", "item_id").collect()))
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 15)
-    assert sorted(map(tuple, decontaminate.find_leaks(spark, docs, bench).select("doc_id", "item_id").collect())) == one
-    # by brute force: whole items in whole texts
-    words = {r.doc_id: b" " + b" ".join(decontaminate.words_of(r.text)) + b" " for r in docs.collect()}
-    whole = sorted((d, r.item_id) for r in bench.collect() for d, w in words.items() if b" " + b" ".join(decontaminate.words_of(r.text)) + b" " in w)
-    assert set(whole) <= set(one) and len(one) <= len(whole) + 2
+def brute_leaks(docs, items):
+    """Every passage against every item: plain BM25 over the item's own score, plain shares of the distinct word runs."""
+    from collections import Counter
+    from math import log
+
+    bags = [(i, t, Counter(decontaminate.words_of(t))) for i, t in items if decontaminate.words_of(t)]
+    n, mean = len(bags), sum(b.total() for *_, b in bags) / max(1, len(bags))
+    df = Counter(w for *_, b in bags for w in b)
+    part = lambda b, w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * b.total() / mean))
+    runs = lambda w, k: {tuple(w[s : s + k]) for s in range(max(1, len(w) - k + 1))} if w else set()
+    out = set()
+    groups = {}
+    for i, t, b in bags:
+        groups.setdefault(min(k for k, most in enumerate(decontaminate.LENGTHS) if b.total() <= most), []).append((i, t, b))
+    for group in groups.values():
+        stride = max([64, *(b.total() for *_, b in group)])
+        for d, text in docs:
+            words = decontaminate.words_of(text)
+            for s in range(0, len(words) + 1, stride):
+                passage = words[s : s + 2 * stride]
+                there = set(passage)
+                for i, t, b in group:
+                    if sum(part(b, w) for w in b if w in there) / sum(part(b, w) for w in b) < 0.6 - 1e-9:
+                        continue
+                    shares = []
+                    for p in decontaminate.question_and_answer(t):
+                        k = min(5, len(p))
+                        shares.append(len(runs(p, k) & runs(passage, k)) / len(runs(p, k)) if p else 1.0)
+                    if min(shares) >= 0.8:
+                        out.add((d, i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_words, sums", [(1 << 20, 4 << 20), (150, 64)])
+def test_leaks_against_brute_force(spark, docs, monkeypatch, shard_words, sums):
+    """Whole and partial items, about the thresholds of score and overlap, in one shard and in many."""
+    for name, value in (("SHARD_WORDS", shard_words), ("SUMS_AT_ONCE", sums), ("POSTINGS_AT_ONCE", sums)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(17)
+    vocabulary = [f"w{k}" for k in range(150)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, f"{text(rng.randrange(3, 50))}. {text(rng.randrange(1, 30))}") for k in range(40)] + [(40, text(600)), (41, text(3)), (42, None)]
+    rows = []
+    for k in range(160):
+        words = decontaminate.words_of(rng.choice(items[:41])[1])
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 6])):
+            words[rng.randrange(len(words))] = b"other"
+        if k % 4 == 0:
+            words = words[: int(len(words) * rng.choice([0.5, 0.8, 0.9]))]
+        rows.append((k, f"{text(rng.randrange(150))} {b' '.join(words).decode()} {text(rng.randrange(100))}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    assert len(want) > 60
+    assert sorted(map(tuple, decontaminate.find_leaks(spark, docs(rows), bench).select("doc_id", "item_id").collect())) == want
+    assert {r.doc_id for r in decontaminate.clean_documents(spark, docs(rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_whole_tables_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = sorted(map(tuple, decontaminate.find_leaks(spark, docs, bench).select("doc_id", "item_id").collect()))
+    assert got == brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+
+
+def test_an_index_is_small():
+    import pickle
+
+    rng = random.Random(1)
+    items = [(k, " ".join(f"w{rng.randrange(30000)}" for _ in range(60))) for k in range(2000)]
+    from collections import Counter
+
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    assert len(pickle.dumps(decontaminate.Index(items, dict(df), 2000, 60.0))) < 50 * 120_000
 
 
 @pytest.mark.parametrize("block", [1, 3, 8])
@@ -157,11 +221,12 @@ def test_wand_finds_all_above_the_threshold(monkeypatch, block):
     vocabulary = [f"t{k}" for k in range(60)]
     items = [(k, " ".join(rng.choice(vocabulary[: rng.choice([8, 60])]) for _ in range(rng.randrange(3, 25)))) for k in range(50)]
     df = Counter(t for _, x in items for t in set(decontaminate.words_of(x)))
-    index = decontaminate.Index(items, dict(df), 50, 12.0)
+    index = decontaminate.Index(items, dict(df), 50, 12.0).open()
     for _ in range(150):
         terms = sorted(rng.sample(range(len(index.terms)), rng.randrange(1, 40)))
         score = np.zeros(50)
         for t in terms:
-            score[index.items[t]] += index.impacts[t]
+            at = slice(index.at[t], index.at[t + 1])
+            score[index.item[at]] += index.impact[at]
         for threshold in (0.1, 0.4, 0.7):
             assert sorted(i for i, _ in index.wand(terms, threshold)) == list(np.flatnonzero(score >= threshold - 1e-9))
