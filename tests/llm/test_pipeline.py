@@ -1,16 +1,51 @@
+import base64
 import collections
+import math
 import random
+import re
 
 import public_tokenizers
+import tiktoken
 from conftest import ODD
 
 import corpus_pipeline
-from tileflow.llm import byte_bpe, decontaminate, language_id, secrets
+from tileflow.llm import decontaminate, language_id, secrets
 
 SF = "/root/testdata/sf0.001"
 
 
-def brute(spark, rows, bench, model, codec):
+def thresholds(texts):
+    """For each length class the p-value up to which the step-up rejects, over the tokens of all texts."""
+    by_class = collections.defaultdict(list)
+    for t in texts:
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            if secrets.encoding_of(m[0]) is not None:
+                step = min(secrets.LAST_STEP, int(-math.log10(max(secrets.random_p(m[0]), 1e-300)) * secrets.STEPS))
+                by_class[sum(len(m[0]) >= c for c in secrets.CLASSES)].append(10 ** (-step / secrets.STEPS))
+    found = {}
+    for k, p in by_class.items():
+        p.sort()
+        found[k] = max([x for j, x in enumerate(p, 1) if x <= secrets.Q * sum(y <= x for y in p) / len(p)], default=-1.0)
+    return found
+
+
+def redact(text, limits):
+    """Every span, found by its definition, replaced; spans that overlap are one."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        if secrets.encoding_of(m[0]) is not None and 10 ** (-min(secrets.LAST_STEP, int(-math.log10(max(secrets.random_p(m[0]), 1e-300)) * secrets.STEPS)) / secrets.STEPS) <= limits[sum(len(m[0]) >= c for c in secrets.CLASSES)]:
+            spans.append(m.span())
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def brute(rows, bench, model, encode):
     """The stages one after the other on a list of rows, near-duplicates by all pairs."""
     rows = [r for r in rows if (p := model.predict(r.text))[0] != "und" and p[1] >= corpus_pipeline.MIN_SCORE]
     sets = []
@@ -33,20 +68,19 @@ def brute(spark, rows, bench, model, codec):
     rows = [r for k, r in enumerate(rows) if find(k) == k]
     whole = [b" " + b" ".join(decontaminate.words_of(b.text)) + b" " for b in bench]
     rows = [r for r in rows if not any(w in b" " + b" ".join(decontaminate.words_of(r.text)) + b" " for w in whole)]
-    out = {}
-    redact = secrets.redactor({})
-    for r in rows:
-        ids = codec.encode(redact(r.text.encode()))
-        out[r.doc_id] = ids
-    return out
+    limits = thresholds([r.text for r in rows])
+    return {r.doc_id: encode(redact(r.text, limits)) for r in rows}
 
 
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     model = language_id.fit(spark, docs.where(~language_id.held_out()).select("text", "lang"))
-    codec = byte_bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    want = brute(spark, docs.collect(), bench, model, codec)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(x): int(y) for x, y in (line.split() for line in f if line.strip())}
+    public = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = brute(docs.collect(), bench, model, public.encode_ordinary)
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
     assert collections.Counter(n for n, _ in corpus_pipeline.STAGES).most_common(1)[0][1] == 1

@@ -34,7 +34,8 @@ class Counter:
     def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True):
         import ahocorasick
 
-        self.byte_fallback = byte_fallback and all(f"<0x{b:02X}>" in {p for p, _ in vocabulary} for b in (0, 255))
+        names = {p for p, _ in vocabulary}
+        self.byte_fallback = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
