@@ -118,6 +118,49 @@ def test_ftrl_leaves_rare_features_at_zero():
     assert model.weights(np.array([5]))[0] > 1 and not model.weights(np.arange(1000, 1400)).any()
 
 
+def test_ftrl_against_a_plain_loop(spark):
+    """Every feature of every text on its own, with plain integers, every weight in a dict, one example after the other."""
+    import re
+
+    import xxhash
+    from math import exp, sqrt
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    order = {r.doc_id: r.o for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id as string), 17) AS o").collect()}
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def named(t):
+        w = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]", " ", t.lower()).split(" ")
+        w = [x for x in w if x]
+        h = [xxhash.xxh64_intdigest(x.encode()) for x in w]
+        pairs = [(a * 0x9E3779B97F4A7C15 % 2**64) ^ (b >> 1) for a, b in zip(h, h[1:], strict=False)]
+        skips = [(a * 0xC2B2AE3D27D4EB4F % 2**64) ^ (b >> 1) for a, b in zip(h, h[2:], strict=False)]
+        return {(x * 0x9E3779B97F4A7C15 % 2**64) >> 64 - toxicity.DIMS_LOG2 for x in h + pairs + skips}
+
+    features = {i: [*sorted(named(t)), "bias"] for i, t in text.items()}
+    taught = sorted((order[r.doc_id], r.doc_id, r.toxic) for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    z, n = {}, {}
+
+    def weight(f):
+        l1 = 0 if f == "bias" else toxicity.L1
+        x = z.get(f, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - (l1 if x > 0 else -l1)) / ((toxicity.BETA + sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    def chance(i):
+        return 1 / (1 + exp(-max(-60, min(60, sum(map(weight, features[i]))))))
+
+    for _ in range(toxicity.EPOCHS):
+        for _, i, label in taught:
+            g = (chance(i) - label) * (toxicity.POSITIVE if label else 1)
+            for f, w in [(f, weight(f)) for f in features[i]]:
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (sqrt(before + g * g) - sqrt(before)) / toxicity.ALPHA * w
+                n[f] = before + g * g
+    out = toxicity.classify_documents(spark, docs, labels).collect()
+    assert all(abs(r.score - chance(r.doc_id)) < 1e-6 for r in out) and len({round(r.score, 6) for r in out}) > 20
+
+
 ITEMS = [(7, "what is the tallest hill of the northern isles? it is the grey stone by the old harbour wall"), (7, "another item of the same id, that asks for something else. the answer has five words too"), (8, "two words"), (9, ""), (10, None), (11, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen")]
 
 

@@ -94,7 +94,8 @@ class Codec:
         self.ranks = ranks
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.letters = dict(enumerate(byte_characters()))
-        self.bytes_of = np.array([None, *sorted(ranks, key=ranks.__getitem__)], dtype=object)[1:].tolist()
+        byte_of = {c: b for b, c in self.letters.items()}
+        self.bytes_of = [bytes(map(byte_of.__getitem__, self.model.IdToPiece(i))) for i in range(len(ranks))]
         self.token = Memo(self._token, 300_000)
 
     def _token(self, token: str) -> bytes:
@@ -111,6 +112,7 @@ class Codec:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
+        """The bytes of the model's own pieces, each character mapped back to its byte."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
