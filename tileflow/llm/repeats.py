@@ -7,9 +7,18 @@ Fingerprints. A window's anchor is the leftmost of its GRAM-word runs with the l
 anchors at equal places. Neighbouring windows with the same anchor make a block; its entry (anchor hash, block hash)
 stands for all of them, about 1 entry for 14 words. Windows can only be equal under equal anchors.
 
-Index. Entries are kept as immutable runs (anchor, block, count), each sorted by both. A batch of documents becomes a new
-run; it is merge-joined by anchor with every historical run, which gives the anchors it shares with history or within
-itself, historical ones included. After MAX_RUNS runs, compaction merges them into one.
+Index. Entries are kept as immutable runs (anchor, block, n), bucketed by anchor and sorted by both, in one folder with
+a manifest. A batch of documents becomes a new run; it is merge-joined by anchor with every historical run as it lies
+there (no exchange, no sort), which gives the anchors it shares with history or within itself. When there are more than
+max_runs runs, the newest are merged, and with them each older one that isn't over twice as large. An index that is
+opened by path also keeps where each block stands, and outlives the session: commit() writes the next manifest, and what
+was not committed isn't there for the next open(). Without a path it is of one call. The number of buckets is fixed when
+an index is made (spark.sql.shuffle.partitions, or as told).
+
+History. With an index, remove_repeats judges the given documents together with all those the index holds, and its rows
+for them are those of one call on all. Documents of earlier calls aren't judged again, so what they lost stays what
+they lost; their texts are read (from the table given as history) for those blocks only that share an anchor with a new
+document and aren't equal as a whole.
 
 Verification. Of the shared anchors, a block that occurs twice or more (128 bits: anchor and block) is repeated as a
 whole. A block that occurs once, under an anchor with other blocks, is compared window by window: the texts are
@@ -24,6 +33,8 @@ are told apart by id and a 64-bit hash of the text, so equal ids and null ids do
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +42,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.common import Memo, as_bytes, discard, map_batches, materialise, ready, release
+from tileflow.llm.common import Memo, as_bytes, discard, map_batches, materialise, ready, release, remove
+from tileflow.plans.lineage import shared_path
 
 SPAN, GRAM = 35, 8
 BATCHES, MAX_RUNS = 3, 2
@@ -131,46 +143,142 @@ def _read(source: DataFrame) -> DataFrame:
     return map_batches(source, make, "doc_id long, k1 long, k2 long, n_words long, whole string, anchor array<long>, block array<long>, lo array<int>, hi array<int>")
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of (anchor, block, n) in the shared folder."""
-
-    def __init__(self, spark: SparkSession, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
-        self.runs: list[DataFrame] = []
+#: What an index holds: blocks with the number of their places, and the places, the latter only where it is to last.
+RUNS = {"entries": "anchor BIGINT, block BIGINT, n BIGINT", "places": "anchor BIGINT, block BIGINT, k1 BIGINT, k2 BIGINT, lo INT, hi INT"}
 
-    def _run(self, entries: DataFrame) -> DataFrame:
-        return materialise(self.spark, entries.groupBy("anchor", "block").agg(F.sum("n").alias("n")).sortWithinPartitions("anchor", "block"), "repeats-run")
 
-    def add(self, entries: DataFrame) -> DataFrame:
+class FingerprintIndex:
+    """Sorted immutable runs in a folder: use open(); add(), then commit() once the result is written."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = MAX_RUNS, buckets: int | None = None):
+        self.spark, self.lasting, self.max_runs = spark, path is not None, max_runs
+        self.path = path.rstrip("/") if path else shared_path(spark, "repeats-index")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version = 0
+        self.runs: dict[str, list[tuple[str, int]]] = {kind: [] for kind in RUNS}
+        self.obsolete: list[str] = []
+        # buckets are one sorted file each: let a scan say so
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, max_runs: int = MAX_RUNS, buckets: int | None = None) -> FingerprintIndex:
+        """The index at path as last committed; a new one where there is none."""
+        index = cls(spark, path, max_runs, buckets)
+        fs, folder = index._fs(f"{index.path}/manifest")
+        versions = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()] if fs.exists(folder) else []
+        if versions:
+            index.version = max(versions)
+            stream = fs.open(index._fs(f"{index.path}/manifest/{index.version:08}")[1])
+            found = json.loads(bytes(stream.readAllBytes()))
+            stream.close()
+            index.buckets = found["buckets"]
+            index.runs = {kind: [tuple(r) for r in found[kind]] for kind in RUNS}
+            for kind in RUNS:
+                for name, _ in index.runs[kind]:
+                    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RUNS[kind]}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, block) INTO {index.buckets} BUCKETS LOCATION '{index.path}/{name}'")
+        return index
+
+    def _fs(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+    def _write(self, kind: str, rows: DataFrame) -> None:
+        name = f"tileflow_{kind}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "block").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        self.runs[kind].append((name, self.spark.table(name).count()))
+
+    def _tables(self, kind: str) -> list[DataFrame]:
+        return [self.spark.table(name) for name, _ in self.runs[kind]]
+
+    def _union(self, kind: str) -> DataFrame | None:
+        rows, *others = self._tables(kind) or [None]
+        for o in others:
+            rows = rows.union(o)
+        return rows
+
+    def add(self, blocks: DataFrame) -> DataFrame:
         """Add a batch's (anchor, block); returns the anchors that it shares with history or within itself."""
-        run = self._run(entries.withColumn("n", F.lit(1).cast("long")))
-        mine = run.groupBy("anchor").agg(F.sum("n").alias("n"))
-        shared = mine.where("n > 1").select("anchor")
-        for old in self.runs:
-            shared = shared.union(mine.where("n = 1").select("anchor").join(old.select("anchor").distinct(), "anchor"))
+        history = self._tables("entries")
+        entries = blocks.groupBy("anchor", "block").agg(F.count("*").alias("n"))
+        self._write("entries", entries.repartition(self.buckets, "anchor"))
+        run = self._tables("entries")[-1]
+        shared = run.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+        for old in history:
+            shared = shared.union(self.merge_join(run, old))
         shared = materialise(self.spark, shared.distinct(), "repeats-shared")
-        self.runs.append(run)
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        self.compact("entries")
         return shared
 
-    def compact(self) -> None:
-        """Merge the runs into one."""
-        if len(self.runs) > 1:
-            entries, *others = self.runs
-            for o in others:
-                entries = entries.union(o)
-            old, self.runs = self.runs, [self._run(entries)]
-            discard(self.spark, *old)
+    @staticmethod
+    def merge_join(run: DataFrame, old: DataFrame) -> DataFrame:
+        """The anchors of run's rows that old has too: both are read in their order."""
+        return run.select("anchor").join(old.select("anchor").hint("merge"), "anchor", "left_semi")
+
+    def add_places(self, blocks: DataFrame) -> None:
+        """Keep where the blocks stand; one block may have any number of places, so those of a frequent one are many rows of one bucket (written in a stream, never held)."""
+        self._write("places", blocks.select("anchor", "block", "k1", "k2", "lo", "hi").repartition(self.buckets, "anchor"))
+        self.compact("places")
+
+    def compact(self, kind: str, everything: bool = False) -> None:
+        """Merge the newest runs, and older ones as long as they aren't over twice as large as what is merged."""
+        runs = self.runs[kind]
+        if len(runs) < 2 or not (everything or len(runs) > self.max_runs):
+            return
+        k = len(runs) - 2
+        while k and (everything or runs[k - 1][1] <= 2 * sum(n for _, n in runs[k:])):
+            k -= 1
+        old = runs[k:]
+        rows, *others = [self.spark.table(name) for name, _ in old]
+        for o in others:
+            rows = rows.union(o)
+        self.runs[kind] = runs[:k]
+        self._write(kind, rows.groupBy("anchor", "block").agg(F.sum("n").alias("n")) if kind == "entries" else rows)
+        self._drop([name for name, _ in old])
+
+    def _drop(self, names: list[str]) -> None:
+        """Of a lasting index, the files go only once a manifest without them is committed."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if self.lasting:
+            self.obsolete += names
+        else:
+            remove(self.spark, *[f"{self.path}/{name}" for name in names])
 
     def entries(self, shared: DataFrame) -> DataFrame:
         """(anchor, block, full, emit) under the shared anchors: whether a block occurs again as a whole, and whether its windows have to be compared."""
-        self.compact()
-        index = self.runs[0]
-        anchors = index.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).join(shared, "anchor")
-        both = index.join(anchors, "anchor").where("n > 1 OR blocks > 1")
+        found = None
+        for run in self._tables("entries"):
+            some = run.join(shared, "anchor", "left_semi")
+            found = some if found is None else found.union(some)
+        found = found.groupBy("anchor", "block").agg(F.sum("n").alias("n"))
+        found = materialise(self.spark, found, "repeats-found")
+        anchors = found.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("n").alias("least"))
+        both = found.join(anchors, "anchor").where("n > 1 OR blocks > 1")
         return both.select("anchor", "block", (F.col("n") > 1).alias("full"), ((F.col("blocks") > 1) & (F.col("least") == 1)).alias("emit"))
 
+    def commit(self) -> None:
+        """Write the next manifest; another writer that was faster makes this fail, and nothing of this one is in the index then."""
+        text = json.dumps({"buckets": self.buckets, **self.runs}).encode()
+        fs, made = self._fs(f"{self.path}/manifest/.{uuid.uuid4().hex}")
+        out = fs.create(made, False)
+        out.write(bytearray(text))
+        out.close()
+        _, target = self._fs(f"{self.path}/manifest/{self.version + 1:08}")
+        if fs.exists(target) or not fs.rename(made, target):
+            fs.delete(made, False)
+            raise RuntimeError(f"{target.toString()} is there already: open the index again")
+        self.version += 1
+        remove(self.spark, *[f"{self.path}/{name}" for name in self.obsolete])
+        self.obsolete = []
+
+    def close(self) -> None:
+        """Forget the tables; an index without a path is deleted."""
+        for name, _ in (r for kind in RUNS for r in self.runs[kind]):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if not self.lasting:
+            remove(self.spark, self.path)
+
 
 def _windows(found: DataFrame) -> DataFrame:
     """(k1, k2, start, single, h1, h2) of every window of the blocks in jobs."""
@@ -224,36 +332,57 @@ def _finish(found: DataFrame) -> DataFrame:
     return map_batches(found, make, "k1 long, k2 long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text), which enters the index in batches."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text), which enters the index in batches.
+
+    index: one that FingerprintIndex.open gave, to go on with; the caller commits it. history: the documents (doc_id, text)
+    that it holds, as they were; to be given unless it is new.
+    """
     ready(spark)
+    lasting = index is not None
+    if not lasting:
+        index = FingerprintIndex(spark)
+    if index.runs["entries"] and history is None:
+        raise ValueError("the index holds documents: their table has to be given as history")
     source = _source(docs)
     read = materialise(spark, _read(source), "repeats-blocks")
     blocks = read.withColumn("e", F.explode(F.arrays_zip("anchor", "block", "lo", "hi"))).select("k1", "k2", "e.*")
-    index = FingerprintIndex(spark)
+    earlier = index._union("places")
     shared = None
     for b in range(batches):
         part = index.add(blocks.where(F.pmod(F.xxhash64("k1", F.lit(41)), F.lit(batches)) == b).select("anchor", "block"))
         shared = part if shared is None else shared.union(part)
     entries = materialise(spark, index.entries(shared.distinct()), "repeats-entries")
-    discard(spark, shared, *index.runs)
-    marks = materialise(spark, blocks.join(entries, ["anchor", "block"]), "repeats-marks")
+    discard(spark, shared)
+    place = ("k1", "k2", "lo", "hi")
+    found = blocks.select("anchor", "block", *place, F.lit(True).alias("mine"))
+    if earlier is not None:
+        found = found.union(earlier.join(entries.select("anchor").distinct(), "anchor", "left_semi").select("anchor", "block", *place, F.lit(False)))
+    marks = materialise(spark, found.join(entries, ["anchor", "block"]), "repeats-marks")
     discard(spark, entries)
+    if lasting:
+        index.add_places(blocks)
+    else:
+        index.close()
 
     # one document stands for each repeated block that others are compared with
-    place = ("k1", "k2", "lo", "hi")
     stands = marks.where("full AND emit").groupBy("anchor", "block").agg(F.min(F.struct(*place)).alias("p")).select("p.*", F.lit(True).alias("full"))
     jobs = marks.where("NOT full").select(*place, "full").union(stands).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "full")).alias("jobs"))
-    ranges = marks.where("full").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("windows"))
+    ranges = marks.where("full AND mine").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("windows"))
     keys = read.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    if earlier is not None:
+        keys = keys.join(jobs.select("k1", "k2"), ["k1", "k2"], "full")
     marked = materialise(spark, keys.join(ranges, ["k1", "k2"], "left").join(jobs, ["k1", "k2"], "left").where("ranges IS NOT NULL OR jobs IS NOT NULL"), "repeats-documents")
     discard(spark, marks)
 
     # all windows of a text repeated: nothing of it is left, and its text isn't needed but for what it stands for
     gone = F.coalesce(F.col("windows") == F.col("copies") * (F.col("n_words") - (SPAN - 1)), F.lit(False))
     whole = marked.where(gone).select("k1", "k2", F.col("n_words").alias("n_removed"), F.lit(NOTHING).alias("kept_sha256"))
-    needed = marked.withColumn("gone", gone).where("NOT gone OR jobs IS NOT NULL").drop("n_words", "windows", "copies")
-    texts = materialise(spark, source.select("k1", "k2", "text").join(needed, ["k1", "k2"]), "repeats-texts")
+    needed = marked.withColumn("gone", gone | F.col("copies").isNull()).where("NOT gone OR jobs IS NOT NULL").drop("n_words", "windows", "copies")
+    every = source.select("k1", "k2", "text")
+    if earlier is not None:
+        every = every.union(_source(history).select("k1", "k2", "text"))
+    texts = materialise(spark, every.join(needed, ["k1", "k2"]), "repeats-texts")
     release(spark)
 
     window = materialise(spark, _windows(texts), "repeats-windows")
