@@ -47,6 +47,8 @@ from tileflow.plans.lineage import shared_path
 
 SPAN, GRAM = 35, 8
 BATCHES, MAX_RUNS = 3, 2
+#: Shares into which the blocks of an anchor are dealt, so that a frequent one isn't one task's.
+SALTS = 8
 #: Windows handled at once: positions fit into the low bits of a key.
 CHUNK, _POSITION = 1 << 18, np.uint64((1 << 20) - 1)
 
@@ -253,9 +255,11 @@ class FingerprintIndex:
             found = some if found is None else found.union(some)
         found = found.groupBy("anchor", "block").agg(F.sum("n").alias("n"))
         found = materialise(self.spark, found, "repeats-found")
-        anchors = found.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("n").alias("least"))
-        both = found.join(anchors, "anchor").where("n > 1 OR blocks > 1")
-        return both.select("anchor", "block", (F.col("n") > 1).alias("full"), ((F.col("blocks") > 1) & (F.col("least") == 1)).alias("emit"))
+        # of a block that is there once, the anchor's least count is 1: it is compared if there are other blocks
+        compared = found.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).where("blocks > 1 AND least = 1")
+        compared = compared.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("compared"))
+        both = found.withColumn("salt", F.pmod(F.hash("block"), F.lit(SALTS))).join(compared, ["anchor", "salt"], "left")
+        return both.where("n > 1 OR compared").select("anchor", "block", (F.col("n") > 1).alias("full"), F.coalesce("compared", F.lit(False)).alias("emit"))
 
     def commit(self) -> None:
         """Write the next manifest; another writer that was faster makes this fail, and nothing of this one is in the index then."""
