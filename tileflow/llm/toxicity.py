@@ -4,7 +4,7 @@ Features of a text, present or not: its lower-cased words (ASCII punctuation sep
 with one word between, hashed to 2 ** DIMS_LOG2 coordinates. Training is online with one learning rate a coordinate
 and L1 shrinkage, so most weights are exactly zero; the others are what is broadcast.
 
-Bound: the model is fitted on at most SAMPLE labelled rows, those with the smallest hashes of their ids, in EPOCHS
+Bound: the model is fitted on at most SAMPLE labelled rows with a document, those with the smallest hashes of their ids, in EPOCHS
 passes in a fixed order. One task reads them in a stream and holds three arrays of 2 ** DIMS_LOG2 numbers.
 
 Texts that are null or empty have no feature and get the bias's score. Rows with a null label teach nothing; without
@@ -92,7 +92,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Both are taken whole: leave out what isn't to be learned from."""
     ready(spark)
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
-    few = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), order.alias("order")).orderBy("order", "doc_id", "toxic").limit(SAMPLE)
+    taught = labels.where(F.col("toxic").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi")
+    few = taught.select("doc_id", F.col("toxic").cast("int").alias("toxic"), order.alias("order")).orderBy("order", "doc_id", "toxic").limit(SAMPLE)
 
     def features():
         f = Features()
