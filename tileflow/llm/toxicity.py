@@ -5,7 +5,8 @@ with one word between, hashed to 2 ** DIMS_LOG2 coordinates. Training is online
 and L1 shrinkage, so most weights are exactly zero; the others are what is broadcast.
 
 Bound: the model is fitted on at most SAMPLE labelled rows, those with the smallest hashes of their ids, in EPOCHS
-passes in a fixed order. One task reads them in a stream and holds three arrays of 2 ** DIMS_LOG2 numbers.
+passes in a fixed order. Their features are shuffled once into a table sorted by that order; one task scans it once a
+pass, in a stream, and holds three arrays of 2 ** DIMS_LOG2 numbers.
 
 Texts that are null or empty have no feature and get the bias's score. Rows with a null label teach nothing; without
 any label the score is 0.5. Repeated ids: each row of the join of texts and labels is an example. Only text is an
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileflow.llm.common import Memo, map_batches, ready
+from tileflow.llm.common import Memo, discard, map_batches, materialise, ready
 from tileflow.llm.language_id import held_out
 
 DIMS_LOG2, SAMPLE, EPOCHS = 20, 10_000, 6
@@ -117,8 +119,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.weights(at))], ["at", "weight"])
 
     examples = map_batches(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), "doc_id").select("order", "toxic", "text"), features, "order long, toxic int, features array<int>")
-    passes = examples.select(F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"), "order", "toxic", "features")
-    weights = passes.repartition(1).sortWithinPartitions("epoch", "order", "toxic", F.xxhash64("features")).select("toxic", "features").mapInArrow(train, "at long, weight double").toArrow()
+    once = materialise(spark, examples.repartition(1).sortWithinPartitions("order", "toxic", F.xxhash64("features")).select("toxic", "features"), "ftrl-examples")
+    # The passes are so many scans of the same table, one behind the other in one task: nothing is shuffled or held.
+    weights = reduce(DataFrame.union, [once] * EPOCHS).coalesce(1).mapInArrow(train, "at long, weight double").toArrow()
+    discard(spark, once)
     at, w = weights.column("at").to_numpy(), weights.column("weight").to_numpy()
     bias = w[at == 1 << DIMS_LOG2]
     inside = at < 1 << DIMS_LOG2
