@@ -111,6 +111,28 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.classify_documents(spark, docs([]), labels).count() == 0
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 300)
+    rng = random.Random(5)
+    rows = [(k, sentences("aa", rng, 40) + (" you idiot" if k % 4 == 0 else "")) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)] + [(k, 1) for k in range(10_000, 13_000)], "doc_id long, toxic int")
+    some = lambda df: toxicity.fit(spark, docs(rows), df)
+    all_labels, those = some(labels), some(labels.where("doc_id < 300"))
+    assert len(those.at) and all_labels.at.tolist() == those.at.tolist() and all_labels.weight.tolist() == those.weight.tolist()
+
+
+def test_repeated_rows_and_ids_teach_once(spark, docs):
+    rng = random.Random(6)
+    rows = [(k, sentences("aa", rng, 40) + (" you idiot" if k % 4 == 0 else "")) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    others = [(4, f"text {n} under the same id") for n in range(500)]
+    hashed = docs([rows[4], *others]).selectExpr("text", "xxhash64(text) AS h").collect()
+    least = min(hashed, key=lambda r: r.h).text
+    plain = toxicity.fit(spark, docs([r for r in rows if r[0] != 4] + [(4, least)]), labels)
+    many = toxicity.fit(spark, docs(rows * 3 + others), labels.union(labels))
+    assert len(plain.at) and plain.at.tolist() == many.at.tolist() and plain.weight.tolist() == many.weight.tolist()
+
+
 def test_ftrl_leaves_rare_features_at_zero():
     model = toxicity.FTRL()
     for k in range(400):

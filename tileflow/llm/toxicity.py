@@ -4,13 +4,13 @@ Features of a text, present or not: its lower-cased words (ASCII punctuation sep
 with one word between, hashed to 2 ** DIMS_LOG2 coordinates. Training is online with one learning rate a coordinate
 and L1 shrinkage, so most weights are exactly zero; the others are what is broadcast.
 
-Bound: the model is fitted on at most SAMPLE labelled rows, those with the smallest hashes of their ids, in EPOCHS
-passes in a fixed order. Their features are shuffled once into a table sorted by that order; one task scans it once a
-pass, in a stream, and holds three arrays of 2 ** DIMS_LOG2 numbers.
+Bound: the model is fitted on at most SAMPLE pairs of an id that has a document and a label, those with the smallest
+hashes of their ids, in EPOCHS passes in a fixed order. Their features are shuffled once into a table sorted by that
+order; one task scans it once a pass, in a stream, and holds three arrays of 2 ** DIMS_LOG2 numbers.
 
 Texts that are null or empty have no feature and get the bias's score. Rows with a null label teach nothing; without
-any label the score is 0.5. Repeated ids: each row of the join of texts and labels is an example. Only text is an
-input of a score.
+any label the score is 0.5. Of an id's texts the one with the smallest hash is learned from, once for each different
+label; so repeated rows of either table change nothing. Only text is an input of a score.
 """
 
 from __future__ import annotations
@@ -93,15 +93,23 @@ class Model:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Both are taken whole: leave out what isn't to be learned from."""
     ready(spark)
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
-    few = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), order.alias("order")).orderBy("order", "doc_id", "toxic").limit(SAMPLE)
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("order")
+    taught = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    few = taught.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "toxic", order).orderBy("order", "doc_id", "toxic").limit(SAMPLE)
 
     def features():
-        f = Features()
-
-        def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            lists = [f.present(t) for t in b.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["order", "toxic", "features"])
+        f, least = Features(), {}
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            """Only texts whose hash is the least so far in this task go on: few, however many rows share an id."""
+            keep = []
+            for k, (i, label, h) in enumerate(zip(*(b.column(c).to_pylist() for c in ("order", "toxic", "hash")), strict=True)):
+                if h < least.get((i, label), 1 << 64):
+                    least[i, label] = h
+                    keep.append(k)
+            b = b.take(pa.array(keep, pa.int64()))
+            lists = [f.present(t) for t in b.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([b.column("order"), b.column("toxic"), b.column("hash"), pa.array(lists, pa.list_(pa.int32()))], ["order", "toxic", "hash", "features"])
 
         return one
 
@@ -118,8 +126,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             at = np.union1d(at, [1 << DIMS_LOG2]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.weights(at))], ["at", "weight"])
 
-    examples = map_batches(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), "doc_id").select("order", "toxic", "text"), features, "order long, toxic int, features array<int>")
-    once = materialise(spark, examples.repartition(1).sortWithinPartitions("order", "toxic", F.xxhash64("features")).select("toxic", "features"), "ftrl-examples")
+    text = F.col("text").cast("string").alias("text")
+    found = docs.select("doc_id", text).join(F.broadcast(few), "doc_id").select("order", "toxic", F.xxhash64("text").alias("hash"), "text")
+    examples = map_batches(found, features, "order long, toxic int, hash long, features array<int>")
+    ordered = examples.repartition(1).groupBy("order", "toxic").agg(F.min_by("features", "hash").alias("features")).sortWithinPartitions("order", "toxic")
+    once = materialise(spark, ordered.select("toxic", "features"), "ftrl-examples")
     # The passes are so many scans of the same table, one behind the other in one task: nothing is shuffled or held.
     weights = reduce(DataFrame.union, [once] * EPOCHS).coalesce(1).mapInArrow(train, "at long, weight double").toArrow()
     discard(spark, once)
